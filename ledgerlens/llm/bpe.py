@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 
 import numpy as np
 import regex
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from ledgerlens.llm import common
 
 #: Pieces that are remembered, and the longest one that is.
-CACHE, CACHED_BYTES = 400_000, 64
+CACHE, CACHED_BYTES = 600_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -31,6 +32,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+class Pieces(dict):
+    """Packed ids by piece, for at most ``CACHE`` pieces at a time."""
+
+    def __init__(self, coder: Encoder) -> None:
+        super().__init__()
+        self.coder = coder
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = self.coder.pack(piece)
+        if len(piece) <= CACHED_BYTES:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = packed
+        return packed
+
+
 class Encoder:
     """Encodes pieces of text; one for each task."""
 
@@ -46,7 +63,8 @@ class Encoder:
         self.automaton.make_automaton()
         self.parts: dict[int, tuple[int, int]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Pieces(self)
+        self.table = np.array([self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)], object)
 
     def split(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge made ``token``; a single byte is itself twice."""
@@ -96,20 +114,21 @@ class Encoder:
         whole = self.rank.get(piece)
         if whole is not None:
             return [whole]
-        longest: dict[int, bytes] = {}
-        for end, token in self.automaton.iter(piece.decode("latin-1")):
-            start = end + 1 - len(token)
-            if start not in longest or len(token) > len(longest[start]):
-                longest[start] = token
+        latin = piece.decode("latin-1")
+
+        def longest(place: int) -> bytes | None:
+            """Every byte is a token, so the leftmost longest match from ``place`` starts there."""
+            return next(self.automaton.iter_long(latin, place), (0, None))[1] if place < len(latin) else None
+
         path: list[bytes] = []
-        dead, at, trying = set(), 0, longest.get(0)
+        dead, at, trying = set(), 0, longest(0)
         while at < len(piece):
             while trying is not None and (at + len(trying) in dead or path and not self.compatible(self.rank[path[-1]], self.rank[trying])):
                 trying = self.shorter(trying)
             if trying is not None:
                 path.append(trying)
                 at += len(trying)
-                trying = longest.get(at)
+                trying = longest(at)
             else:
                 if not path:
                     raise ValueError("the vocabulary lacks a byte")
@@ -119,22 +138,16 @@ class Encoder:
                 trying = self.shorter(trying)
         return [self.rank[t] for t in path]
 
-    def encode_piece(self, piece: str) -> bytes:
-        """Packed ids of a piece."""
-        packed = np.array(self.encode_bytes(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-        if len(piece) <= CACHED_BYTES:
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            self.pieces[piece] = packed
-        return packed
+    def pack(self, piece: str) -> bytes:
+        ids = self.encode_bytes(piece.encode("utf-8", "surrogatepass"))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids of ``text``, as little-endian unsigned 32-bit integers."""
-        known = self.pieces.get
-        return b"".join([known(p) or self.encode_piece(p) for p in self.find(text)])
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        return b"".join(self.table[np.frombuffer(packed, "<u4")].tolist())
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
