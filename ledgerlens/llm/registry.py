@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, exact_dedup, language, near_dup, topk_search
+from ledgerlens.llm import bpe, exact_dedup, language, near_dup, substring_dedup, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_sort_groups(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = language.held_out()
@@ -51,6 +55,28 @@ FROM t
 """
 
 
+OP4_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM words WHERE len(w) >= 50
+), windows AS (
+  SELECT doc_id, s, sha256(array_to_string(w[s:s+49], ' ')) AS h FROM starts
+), late AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY h) AS first FROM windows) WHERE first < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(s, s + 50)) AS p FROM late)
+), removed AS (SELECT doc_id, list(p) AS g FROM gone GROUP BY 1),
+kept AS (
+  SELECT w.doc_id, len(w.w) AS n_words, coalesce(len(r.g), 0) AS n_removed, list(x.v ORDER BY x.p) FILTER (WHERE x.p IS NOT NULL AND o.p IS NULL) AS k
+  FROM words w LEFT JOIN removed r USING (doc_id)
+  LEFT JOIN (SELECT doc_id, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS p FROM words) x ON x.doc_id = w.doc_id
+  LEFT JOIN gone o ON o.doc_id = x.doc_id AND o.p = x.p
+  GROUP BY 1, 2, 3
+)
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
+"""
+
 OP9_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -86,6 +112,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_language": op5_language,
         "op7_bpe": op7_bpe,
         "op9_near_dup": op9_near_dup,
@@ -94,4 +121,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op9_near_dup": OP9_SQL, "op10_topk_search": OP10_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op9_near_dup": OP9_SQL, "op10_topk_search": OP10_SQL}
