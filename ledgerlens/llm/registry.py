@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, exact_dedup, html_extract, language, near_dup, substring_dedup, topk_search
+from ledgerlens.llm import bpe, exact_dedup, html_extract, language, near_dup, substring_dedup, topk_search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(_table(spark, sf_dir, "documents"), ranks, pattern).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels, out = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), toxicity.held_out()
+    machine = toxicity.train(docs.select("doc_id", "text"), labels.where(~out))
+    return toxicity.score(docs.select("doc_id", "text", out.alias("held_out")), machine).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -120,6 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substring_dedup": op4_substring_dedup,
         "op5_language": op5_language,
         "op7_bpe": op7_bpe,
+        "op8_toxicity": op8_toxicity,
         "op9_near_dup": op9_near_dup,
         "op10_topk_search": op10_topk_search,
     }
