@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, exact_dedup, html_extract, language, near_dup, substring_dedup, topk_search, toxicity
+from ledgerlens.llm import bpe, exact_dedup, html_extract, language, mixing, near_dup, substring_dedup, surrogates, topk_search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets: the square roots of the sources' sizes."""
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_sort_groups(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -33,6 +38,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text", out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is fixed here so that results can be compared; a real one is a secret of its owner."""
+    return surrogates.replace_entities(_table(spark, sf_dir, "documents"), key=b"ledgerlens-example-key")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = bpe.public_ranks()
     return bpe.encode_digest(_table(spark, sf_dir, "documents"), ranks, pattern).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -122,9 +132,11 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
+        "op2_mixing": op2_mixing,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_language": op5_language,
+        "op6_surrogates": op6_surrogates,
         "op7_bpe": op7_bpe,
         "op8_toxicity": op8_toxicity,
         "op9_near_dup": op9_near_dup,
