@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from itertools import combinations
 
 import numpy as np
@@ -32,15 +33,15 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import common
 
-TOXIC_ROWS, CLEAN_ROWS = 2000, 8000
+TOXIC_ROWS, CLEAN_ROWS = 1800, 6500
 DECAY, SPAN, LETTERS, LONGEST = 0.7, 6, 64, 32
 LANDMARKS, ROUNDS = 384, 4
 #: Toxic texts that must share a letter run before it can mark a witness.
 EVIDENCE = 8
 #: Directions of the landmarks' kernel matrix below this share of the largest are noise.
 CUTOFF = 1e-4
-#: Decision values from here on are alike to the logistic function (the margin is at 1).
-PAST = 2.0
+#: Decision values from here on are alike to the logistic function (the margin).
+PAST = 1.0
 #: How many times more frequent than chance a witness's letter run is in toxic texts.
 CONTRAST = 20
 #: Highest words of clean texts that a round adds to the negatives.
@@ -129,8 +130,8 @@ class Machine:
         """Decision values of cleaned pieces."""
         out = np.full(len(pieces), -2.0)
         for n, rows in by_length(pieces).items():
-            for low in range(0, len(rows), 4096):
-                part = rows[low : low + 4096]
+            for low in range(0, len(rows), 2048):
+                part = rows[low : low + 2048]
                 keys, weights = subsequences(self.letters.matrix([pieces[i] for i in part]))
                 out[part] = (self.table[keys] * weights).sum(1) + self.bias
         return out
@@ -216,23 +217,21 @@ def fit_line(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def first_witnesses(bags: list[set[str]], toxic: np.ndarray) -> dict[str, float]:
+def first_witnesses(names: list[str], bags: list[np.ndarray], toxic: np.ndarray) -> dict[int, float]:
     """Words with a run of four letters that is far more frequent in toxic bags, with that run's weight of evidence."""
+    runs = lambda w: [w[k : k + 4] for k in range(max(1, len(w) - 3))]
     count: tuple[Counter, Counter] = (Counter(), Counter())
     for bag, y in zip(bags, toxic):
-        count[int(y)].update({w[k : k + 4] for w in bag for k in range(len(w) - 3)} | {w for w in bag if len(w) == 3})
+        count[int(y)].update({g for i in bag.tolist() for g in runs(names[i])})
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     strong = {}
     for g, n in count[1].items():
         usual = (count[0][g] + 0.5) * n1 / n0
         if n >= EVIDENCE and n >= CONTRAST * usual:
             strong[g] = (n - usual) / np.sqrt(usual + 1)
-    out = {}
-    for bag in (b for b, y in zip(bags, toxic) if y):
-        for w in bag:
-            if w not in out and (e := max((strong.get(w[k : k + 4], 0.0) for k in range(max(1, len(w) - 3))), default=0.0)) > 0:
-                out[w] = e
-    return out
+    seen = np.unique(np.concatenate([b for b, y in zip(bags, toxic) if y]))
+    found = ((i, max(strong.get(g, 0.0) for g in runs(names[i]))) for i in seen.tolist())
+    return {i: e for i, e in found if e > 0}
 
 
 def disguised(word: str) -> list[str]:
@@ -243,59 +242,57 @@ def disguised(word: str) -> list[str]:
     return out + [word[:at] + word[at + 1 :]] * (n > 5 and at < n - 1)
 
 
-def fit(texts: list[str | None], labels: list[int]) -> Machine | Constant:
+def fit(texts: Iterable[str | None], labels: list[int]) -> Machine | Constant:
     """Train on labelled texts."""
     toxic = np.array(labels, bool)
     if not toxic.any() or toxic.all():
         return Constant(float(toxic.mean()) if len(toxic) else 0.0)
-    shared: dict[str, list[str]] = {}
-    bags = [{p for w in words_of(t) for p in (shared.get(w) or shared.setdefault(w, cleaned(w)))} for t in texts]
-    shared.clear()
-    in_clean = Counter(w for b, y in zip(bags, toxic) if not y for w in b)
-    in_toxic = Counter(w for b, y in zip(bags, toxic) if y for w in b)
-    witness = first_witnesses(bags, toxic)
-    if not witness or not in_clean:
-        return Constant(float(toxic.mean()))
-    letters = Letters(list(in_clean) + list(in_toxic))
+    index: dict[str, int] = {}
+    bags: list[np.ndarray] = []  # the distinct words of each text, as numbers
+    for t in texts:
+        bags.append(np.array(sorted({index.setdefault(p, len(index)) for w in dict.fromkeys(words_of(t)) for p in cleaned(w)}), np.int32))
+    names = list(index)
+    del index
+    in_toxic, in_clean = (np.bincount(np.concatenate([np.empty(0, np.int32), *(b for b, y in zip(bags, toxic) if y == side)]), minlength=len(names)) for side in (True, False))
+    witness = first_witnesses(names, bags, toxic) if names else {}
+    letters = Letters(names)
     ratio = toxic.sum() / max(1, (~toxic).sum())
-    rare = lambda w: in_clean[w] * ratio * 5 < in_toxic[w]
-    positive = sorted((w for w in witness if rare(w)), key=lambda w: (-in_toxic[w] * witness[w], w))[:600]
-    if not positive:
+    rare = in_clean * ratio * 5 < in_toxic
+    positive = sorted((i for i in witness if rare[i]), key=lambda i: (-in_toxic[i] * witness[i], names[i]))[:600]
+    if not positive or not in_clean.any():
         return Constant(float(toxic.mean()))
-    usual = sorted(in_clean, key=lambda w: (-in_clean[w], w))
+    usual = sorted(np.flatnonzero(in_clean).tolist(), key=lambda i: (-in_clean[i], names[i]))
     negative = set(usual[:1500]) | set(sorted(usual[1500:])[:: max(1, len(usual) // 2500)])
-    everything = sorted(set(in_clean) | set(in_toxic))
-    index = {w: i for i, w in enumerate(everything)}
     f = None
     for _ in range(ROUNDS):
-        own = list(dict.fromkeys(positive + [v for w in positive[:150] for v in disguised(w)]))
-        other = sorted(negative - set(own))
-        hard = sorted(other, key=(lambda w: (-in_clean[w], w)) if f is None else (lambda w: (-f[index[w]], w)))
-        marks = own[: LANDMARKS // 2] + hard[: LANDMARKS // 3] + other[:: max(1, len(other) * 6 // LANDMARKS)][: LANDMARKS // 6]
-        marks = list(dict.fromkeys(marks))
+        own = list(dict.fromkeys([names[i] for i in positive] + [v for i in positive[:150] for v in disguised(names[i])]))
+        rest = sorted(negative - set(positive), key=lambda i: names[i])
+        hard = sorted(rest, key=lambda i: ((-in_clean[i] if f is None else -f[i]), names[i]))
+        chosen = hard[: LANDMARKS // 3] + rest[:: max(1, len(rest) * 6 // LANDMARKS)][: LANDMARKS // 6]
+        marks = list(dict.fromkeys(own[: LANDMARKS // 2] + [names[i] for i in chosen]))
         values, vectors = np.linalg.eigh(kernel(letters, marks, marks).astype(np.float64))
         good = values > CUTOFF * values.max()
         root = vectors[:, good] / np.sqrt(values[good])  # the Nyström map of kernel values with the landmarks
-        x = kernel(letters, own + other, marks) @ root
-        y = np.array([1.0] * len(own) + [-1.0] * len(other))
-        count = np.array([in_toxic[w] or EVIDENCE for w in own] + [in_clean[w] for w in other])
-        weight = np.sqrt(1 + count)  # a word counts by the texts it decides
+        x = kernel(letters, own + [names[i] for i in rest], marks) @ root
+        y = np.array([1.0] * len(own) + [-1.0] * len(rest))
+        known = {names[i]: in_toxic[i] for i in positive}
+        weight = np.sqrt(1 + np.array([known.get(w, EVIDENCE) for w in own] + in_clean[rest].tolist()))  # a word counts by the texts it decides
         for side in (1.0, -1.0):
             weight[y == side] *= len(y) / 2 / max(1e-9, weight[y == side].sum())
         w, bias = linear_machine(x, y, weight)
+        del x
         alpha = root @ w
         table = np.zeros(LETTERS**3, np.float32)
         for rows in by_length(marks).values():
             keys, weights = subsequences(letters.matrix([marks[i] for i in rows]))
             np.add.at(table, keys, weights * alpha[rows][:, None].astype(np.float32))
-        machine = Machine(letters, table, bias, np.zeros(2))
-        f = machine.pieces(everything)
-        tops = [max(b, key=lambda w: (f[index[w]], w)) if b else None for b in bags]
-        fresh = {t for t, y_ in zip(tops, toxic) if y_ and t in witness and rare(t)}
-        positive = list(dict.fromkeys([p for p in positive if f[index[p]] > -0.5] + sorted(fresh, key=lambda w: (-in_toxic[w], w))))[:900]
-        wrong = sorted((w for w in in_clean if f[index[w]] > -0.7 and w not in fresh), key=lambda w: (-f[index[w]], w))
-        negative |= set(wrong[:HARD]) | {t for t, y_ in zip(tops, toxic) if not y_ and t and f[index[t]] > -0.7}
-    high = np.array([max((f[index[w]] for w in b), default=-2.0) for b in bags])
+        f = Machine(letters, table, bias, np.zeros(2)).pieces(names)
+        tops = [int(b[f[b].argmax()]) if len(b) else None for b in bags]
+        fresh = {t for t, toxic_ in zip(tops, toxic) if toxic_ and t in witness and rare[t]}
+        positive = list(dict.fromkeys([i for i in positive if f[i] > -0.5] + sorted(fresh, key=lambda i: (-in_toxic[i], names[i]))))[:900]
+        wrong = sorted((i for i in np.flatnonzero((in_clean > 0) & (f > -0.7)).tolist() if i not in fresh), key=lambda i: (-f[i], names[i]))
+        negative |= set(wrong[:HARD]) | {t for t, toxic_ in zip(tops, toxic) if not toxic_ and t is not None and f[t] > -0.7}
+    high = np.array([f[b].max() if len(b) else -2.0 for b in bags])
     line = fit_line(np.stack([np.ones(len(high)), np.minimum(high, PAST)], 1), toxic.astype(float))
     return Machine(letters, table, bias, line)
 
@@ -309,8 +306,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = F.when(F.col("y") == 1, TOXIC_ROWS / max(1, totals.get(1, 1))).otherwise(CLEAN_ROWS / max(1, totals.get(0, 1)))
     chosen = known.where(million < share)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = common.keep_likely(rows, chosen, "id").join(chosen, "id").orderBy("id", "text").toPandas()
-    return fit(found["text"].tolist(), found["y"].tolist())
+    found = common.materialise(common.keep_likely(rows, chosen, "id").join(chosen, "id"), "labelled").orderBy("id", "text")
+    return fit((r["text"] for r in found.select("text").toLocalIterator()), [r["y"] for r in found.select("y").collect()])
 
 
 def score(df: DataFrame, machine: Machine | Constant, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
