@@ -152,7 +152,7 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``df`` with lang_pred and score; existing columns of these names are replaced."""
     sent = df.sparkSession.sparkContext.broadcast(model)  # TABLE_BYTES at most
-    kept = [f for f in df.schema if f.name not in ("lang_pred", "score")]
+    kept = [f for f in df.schema if f.name.lower() not in ("lang_pred", "score")]
 
     def each():
         predict = sent.value.predict

@@ -90,8 +90,12 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
         return f"{reshaped(local, key, f'{tweak}|{domain.lower()}')}@{reshaped('.'.join(labels[:-1]), key, 'domain')}.{labels[-1]}"
     if kind == "ip":
         a, *rest = (int(x) for x in text.split("."))
-        value = permuted(((a - 1) * 256 + rest[0]) << 16 | rest[1] << 8 | rest[2], 223 << 24, key, tweak)
-        return f"{(value >> 24) + 1}.{value >> 16 & 255}.{value >> 8 & 255}.{value & 255}"
+        value = ((a - 1) * 256 + rest[0]) << 16 | rest[1] << 8 | rest[2]
+        while True:  # walked on to an address that can belong to somebody, like the original
+            value = permuted(value, 223 << 24, key, tweak)
+            made = f"{(value >> 24) + 1}.{value >> 16 & 255}.{value >> 8 & 255}.{value & 255}"
+            if public_address(made):
+                return made
     if kind == "card":
         digits = re.sub(r"\D", "", text)
         inner = reshaped(digits[1:-1], key, f"{tweak}|{digits[0]}|{luhn(digits)}")

@@ -15,7 +15,7 @@ Queries go in blocks of about ``QUERY_BLOCK`` rows, so a broadcast has a fixed s
 Defined cases: a vector that is null, empty, or holds a null or non-finite component takes no part; vectors are compared
 with queries of the same length only; a query's own id is no candidate, in repeated rows too, and repeated query rows are
 answered once a row; ties go to the smaller id; fewer than k candidates give them all; null ids take no part; scores
-beyond a long are clamped; an empty table gives no rows; other columns are ignored.
+beyond a long are clamped before they are ranked; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -140,7 +140,7 @@ def _block(spark, rows: DataFrame, own: DataFrame, k: int, scale: int) -> DataFr
             open_ = np.logical_or.reduce(reach) & (bound >= m * cut).astype(bool) & (query[:, None] != ids[None, :])
             for n in np.flatnonzero(open_.any(1)):
                 at = np.flatnonzero(open_[n])
-                score = sum(p[n][at] for p in parts)
+                score = np.maximum(np.minimum(sum(p[n][at] for p in parts), LONG), -LONG) if parts[0].dtype == object else sum(p[n][at] for p in parts)
                 keep = np.flatnonzero((score >= cut[n]).astype(bool))
                 if len(keep):
                     best = keep[best_rows(score[keep], ids[at][keep], k)]

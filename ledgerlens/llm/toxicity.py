@@ -313,7 +313,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(df: DataFrame, machine: Machine | Constant, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """``df`` with score and predicted; existing columns of these names are replaced."""
     sent = df.sparkSession.sparkContext.broadcast(machine)  # a table of LETTERS ** 3 weights
-    kept = [f for f in df.schema if f.name not in ("score", "predicted")]
+    kept = [f for f in df.schema if f.name.lower() not in ("score", "predicted")]
 
     def each():
         known: dict[str, float] = {}
