@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import common
 
-SAMPLE, ALPHABET, TABLE_BYTES = 600, 44, 96 << 20
+SAMPLE, ALPHABET, TABLE_BYTES = 600, 36, 32 << 20
 #: Bytes of evidence that the score is stated for: longer texts do not saturate it.
 EVIDENCE = 24
 LETTER = regex.compile(r"\p{L}")
@@ -57,18 +57,18 @@ def grams(text: bytes, fold: np.ndarray, order: int, base: int) -> np.ndarray:
 
 def code_lengths(keys: np.ndarray, counts: np.ndarray, order: int, base: int) -> np.ndarray:
     """Bits of every (context, byte) for one language from the counts of the longest grams, as a flat table."""
-    full = np.zeros(base ** (order + 1), np.float64)
+    full = np.zeros(base ** (order + 1), np.float32)
     full[keys] = counts
-    bits = np.full(base, np.log2(base))
+    bits = np.full(base, np.log2(base), np.float32)
     for k in range(order + 1):  # contexts of k bytes: the last k before the byte
         seen = full.reshape(-1, base ** (k + 1)).sum(0).reshape(-1, base)
         total, distinct = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
         known = total > 0
-        escape = np.where(known, -np.log2(np.where(known, distinct, 1) / np.where(known, total + distinct, 1)), 0.0)
+        escape = np.where(known, -np.log2(np.where(known, distinct, 1) / np.where(known, total + distinct, 1)), 0.0).astype(np.float32)
         lower = np.tile(bits, seen.shape[0] // (len(bits) // base)).reshape(-1, base) if k else np.broadcast_to(bits, seen.shape)
-        own = -np.log2(np.where(seen > 0, seen, 1) / np.where(known, total + distinct, 1))
+        own = -np.log2(np.where(seen > 0, seen, 1) / np.where(known, total + distinct, 1).astype(np.float32))
         bits = np.where(seen > 0, own, escape + lower).ravel()
-    return bits.astype(np.float32)
+    return bits
 
 
 class Model:
@@ -145,7 +145,10 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return work
 
     found = common.map_rows(chosen.select("lang", "text"), "lang string, gram long, n long", gram_counts).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    table = np.stack([code_lengths(own["gram"].to_numpy(), own["n"].to_numpy(), order, base) for lang in languages for own in [found[found["lang"] == lang]]])
+    table = np.empty((len(languages), base ** (order + 1)), np.float32)
+    for row, lang in zip(table, languages):
+        own = found[found["lang"] == lang]
+        row[:] = code_lengths(own["gram"].to_numpy(), own["n"].to_numpy(), order, base)
     return Model(languages, fold, order, base, table)
 
 
