@@ -100,7 +100,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     signed = common.materialise(common.map_rows(docs, "id long, n long, digest binary, bands array<long>", sign), "signatures")
     named = signed.where("id IS NOT NULL AND digest IS NOT NULL")
-    nodes = named.groupBy("digest").agg(F.min("id").alias("node"))
+    # A table of its own, so that the join below reads two plain shuffles, of which adaptive execution splits a large group.
+    nodes = common.materialise(named.groupBy("digest").agg(F.min("id").alias("node")), "nodes")
     members = common.materialise(named.join(nodes, "digest").select("id", "node", "bands", (F.col("id") == F.col("node")).alias("is_node")), "members")
 
     banded = members.where("is_node").select("node", F.explode("bands").alias("key"))
