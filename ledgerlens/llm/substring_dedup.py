@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import common
 
-WINDOW, PHRASE, FOLLOWERS = 50, 12, 500
+WINDOW, PHRASE, FOLLOWERS = 50, 12, 100
 #: Documents in which the words of an automaton's alphabet are looked up have other words too; they share this letter.
 OTHER = "\x01"
 
