@@ -129,8 +129,11 @@ def extract_facts(pages: DataFrame, heading: str, id_col: str = "id", text_col:
                 found.append(bare[2:].strip())
             elif inside and bare and found and line[:1].isspace():
                 found[-1] += " " + bare
-        once = {" ".join(f.split()).casefold(): " ".join(f.split())[:length] for f in reversed(found) if f}
-        return list(reversed(list(once.values())))[:most]
+        once: dict[str, str] = {}
+        for f in (" ".join(f.split()) for f in found):
+            if f:
+                once.setdefault(f.casefold(), f[:length])
+        return list(once.values())[:most]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
