@@ -40,8 +40,8 @@ LANDMARKS, ROUNDS = 384, 4
 EVIDENCE = 8
 #: Directions of the landmarks' kernel matrix below this share of the largest are noise.
 CUTOFF = 1e-4
-#: Decision values from here on are alike to the logistic function (the margin).
-PAST = 1.0
+#: Share of the witnessed toxic training texts whose decision values may be under the point from which values are alike.
+UNDER = 0.02
 #: How many times more frequent than chance a witness's letter run is in toxic texts.
 CONTRAST = 20
 #: Highest words of clean texts that a round adds to the negatives.
@@ -123,8 +123,8 @@ def by_length(words: list[str]) -> dict[int, list[int]]:
 class Machine:
     """Scores words and texts; what training leaves."""
 
-    def __init__(self, letters: Letters, table: np.ndarray, bias: float, line: np.ndarray) -> None:
-        self.letters, self.table, self.bias, self.line = letters, table, bias, line
+    def __init__(self, letters: Letters, table: np.ndarray, bias: float, line: np.ndarray, past: float) -> None:
+        self.letters, self.table, self.bias, self.line, self.past = letters, table, bias, line, past
 
     def pieces(self, pieces: list[str]) -> np.ndarray:
         """Decision values of cleaned pieces."""
@@ -149,7 +149,7 @@ class Machine:
         return out
 
     def score(self, high: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(np.stack([np.ones_like(high), np.minimum(high, PAST)], 1) @ self.line, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(np.stack([np.ones_like(high), np.minimum(high, self.past)], 1) @ self.line, -30, 30)))
 
 
 class Constant:
@@ -286,15 +286,17 @@ def fit(texts: Iterable[str | None], labels: list[int]) -> Machine | Constant:
         for rows in by_length(marks).values():
             keys, weights = subsequences(letters.matrix([marks[i] for i in rows]))
             np.add.at(table, keys, weights * alpha[rows][:, None].astype(np.float32))
-        f = Machine(letters, table, bias, np.zeros(2)).pieces(names)
+        f = Machine(letters, table, bias, np.zeros(2), 1.0).pieces(names)
         tops = [int(b[f[b].argmax()]) if len(b) else None for b in bags]
         fresh = {t for t, toxic_ in zip(tops, toxic) if toxic_ and t in witness and rare[t]}
         positive = list(dict.fromkeys([i for i in positive if f[i] > -0.5] + sorted(fresh, key=lambda i: (-in_toxic[i], names[i]))))[:900]
         wrong = sorted((i for i in np.flatnonzero((in_clean > 0) & (f > -0.7)).tolist() if i not in fresh), key=lambda i: (-f[i], names[i]))
         negative |= set(wrong[:HARD]) | {t for t, toxic_ in zip(tops, toxic) if not toxic_ and t is not None and f[t] > -0.7}
     high = np.array([f[b].max() if len(b) else -2.0 for b in bags])
-    line = fit_line(np.stack([np.ones(len(high)), np.minimum(high, PAST)], 1), toxic.astype(float))
-    return Machine(letters, table, bias, line)
+    marked = np.array([np.isin(b, np.array(list(witness))).any() for b in bags])
+    past = max(0.5, float(np.quantile(high[toxic & marked], UNDER)))
+    line = fit_line(np.stack([np.ones(len(high)), np.minimum(high, past)], 1), toxic.astype(float))
+    return Machine(letters, table, bias, line, past)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine | Constant:
