@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import render, text, vectors
-from ledgerlens.operators import enrich, graph, heads, packing, predicates, provenance, ranking, triggers
-from ledgerlens.plans import catalog
+from ledgerlens.operators import enrich, graph, heads, lifecycle, packing, predicates, provenance, ranking, triggers
+from ledgerlens.plans import artifacts, catalog
 from ledgerlens.plans.search import Source, run_source, search
 from ledgerlens.sources.records import Scope, activity, append, graph_edges, ingest, scan, table
 
@@ -652,6 +652,66 @@ def context_pack(s, d):
     return packing.greedy_pack(top, "cost", 4000, "rank", "source").select("source", "doc_id", "cost")
 
 
+@query("promotion_verdicts", LOG + ", d AS (SELECT * FROM log WHERE status = 'draft' QUALIFY row_number() OVER (PARTITION BY entity, key ORDER BY seq DESC) = 1), a AS (SELECT * FROM log WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY entity, key ORDER BY seq DESC) = 1), b AS (SELECT entity, key, max(seq) AS base_seq FROM log WHERE status = 'active' AND seq <= 9000 GROUP BY ALL) SELECT d.entity, CASE WHEN bool_and(a.seq IS NOT NULL AND d.k IS NOT DISTINCT FROM a.k) THEN 'already' WHEN bool_or(coalesce(a.seq, 0) > coalesce(b.base_seq, 0)) THEN 'conflict' ELSE 'promote' END AS verdict, count(*) AS n FROM d LEFT JOIN a USING (entity, key) LEFT JOIN b USING (entity, key) GROUP BY d.entity")
+def promotion_verdicts(s, d):
+    log = activity(s, d)
+    base = log.where("status = 'active' AND seq <= 9000").groupBy("entity", "key").agg(F.max("seq").alias("base_seq"))
+    return lifecycle.promotion(log, base, "k")
+
+
+@query("backfill_page", LOG + " SELECT id, seq FROM log WHERE ready AND seq > 120 AND id % 3 <> 0 ORDER BY seq LIMIT 70")
+def backfill_page(s, d):
+    log = activity(s, d)
+    return lifecycle.backfill_page(log, log.where("id % 3 = 0"), 120, 70).select("id", "seq")
+
+
+@query("contract_offenders", LOG + " SELECT collection, version, 'h' || (id % 4) AS hash, count(*) AS n, min(seq) AS first_seq FROM log WHERE NOT (version = 1 AND id % 4 IN (1, 2)) GROUP BY ALL")
+def contract_offenders(s, d):
+    log = activity(s, d).withColumn("hash", F.concat(F.lit("h"), (F.col("id") % 4).cast("string")))
+    known = s.createDataFrame([("activity", 1, "h1"), ("activity", 1, "h2")], "collection string, version int, hash string")
+    return lifecycle.contract_offenders(log, known)
+
+
+@query("reference_counts", LOG + " SELECT name, count(*) AS n FROM (SELECT 'topic' AS name FROM log UNION ALL SELECT type FROM log) GROUP BY name")
+def reference_counts(s, d):
+    held = F.create_map(F.lit("topic"), F.lit("x"), F.col("type"), F.lit("y"))
+    return lifecycle.reference_counts(activity(s, d).select(held.alias("annotations")), "annotations")
+
+
+@query("lineage_faults", LINKS + " SELECT child, bool_or(parent >= child) AS bad_order, bool_or(l.id IS NULL) AS missing FROM links LEFT JOIN (SELECT id FROM log WHERE id % 5 <> 0) l ON l.id = parent GROUP BY child")
+def lineage_faults(s, d):
+    return lifecycle.lineage_faults(_links(s, d), activity(s, d).where("id % 5 <> 0").select("id"))
+
+
+@query("outputs_page", LOG + ", r AS (SELECT entity AS run, list(id ORDER BY seq) AS o FROM log GROUP BY entity), f AS (SELECT run, unnest(o[3:5]) AS id, unnest(range(2, 2 + len(o[3:5]))) AS place FROM r) SELECT run, CAST(place AS INTEGER) AS place, id, id % 4 <> 0 AS found FROM f")
+def outputs_page(s, d):
+    log = activity(s, d)
+    runs = log.groupBy(F.col("entity").alias("run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "id"))), lambda x: x["id"]).alias("outputs"))
+    return lifecycle.outputs_page(runs, log.where("id % 4 <> 0"), 2, 3)
+
+
+@query("index_rows", CURRENT + " SELECT l.id, l.entity, n.id IS NOT NULL AS is_current, true AS keyed, l.tombstone, 'f_' || left(sha256(l.collection || '/' || l.type), 16) AS attribute FROM log l LEFT JOIN now n USING (id)")
+def index_rows(s, d):
+    return lifecycle.index_rows(activity(s, d), heads.is_current(SLOT))
+
+
+@query("artifact_render")
+def artifact_render(s, d):
+    lines = scan(activity(s, d), Scope()).select("id", F.concat_ws(" | ", "entity", "key").alias("line"), (-F.col("seq")).alias("place"))
+    users = table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("line"), F.col("n_nationkey").alias("place"))
+    made = artifacts.render("# Recent\n{{ blocks.recent }}\n# Nations\n{{ blocks.nations }}", {"recent": artifacts.Block(lines, 200), "nations": artifacts.Block(users, 60)})
+    return s.createDataFrame([(made.text, made.digest, len(made.manifest["recent"]), len(made.manifest["nations"]))], "text string, digest string, n_recent int, n_nations int")
+
+
+@query("answer_evidence")
+def answer_evidence(s, d):
+    """What an answer may cite: a hybrid search, and the edges near an anchor."""
+    hits = search_hybrid(s, d).select(F.concat(F.lit("record-"), F.col("id").cast("string")).alias("handle"), F.col("rank").cast("bigint").alias("rank"), F.lit("search").alias("source"))
+    edges = graph_edges(s, d)
+    near = graph.citations(graph.traverse(edges, "supplier-1", 2, 10, "both"), edges)
+    return hits.unionByName(near.select(F.col("edge_id").alias("handle"), F.col("first_use").cast("bigint").alias("rank"), F.lit("graph").alias("source")))
+
+
 @query("catalog_listing")
 def catalog_listing(s, d):
     made = catalog.Catalog.load(EXAMPLE)

@@ -189,3 +189,25 @@ def test_search_caps_before_conditions(spark):
     late = run_source(log, Source("recent", where={"content": {"eq": "0"}}, k=20, candidates=10), now).collect()
     early = run_source(log, Source("recent", where={"content": {"eq": "0"}}, k=20, candidates=10, prefilter=True), now).collect()
     assert len(late) == 5 and len(early) == 10
+
+
+def test_schedules():
+    from ledgerlens.functions.schedule import Cron
+
+    start = dt.datetime(2026, 7, 16)
+    assert [t.minute for t in Cron("*/20 3 * * *").buckets(start, start + dt.timedelta(hours=6))] == [0, 20, 40]
+    assert len(list(Cron("* * * * *").buckets(start, start + dt.timedelta(days=1), 100))) == 100
+    assert Cron("0 0 1 * 4").due(start) and not Cron("0 0 1 * *").due(start) and Cron("0 0 * * 7").due(dt.datetime(2026, 7, 19))
+    for bad in ("* * * *", "60 * * * *", "5-1 * * * *", "*/0 * * * *"):
+        with pytest.raises(ValueError):
+            Cron(bad)
+
+
+def test_artifacts(spark):
+    from ledgerlens.plans.artifacts import Block, is_stale, render as make
+
+    lines = spark.createDataFrame([(k, "x" * 8, k) for k in range(5)], "id int, line string, place int")
+    made = make("A {{ blocks.a }} B {{ blocks.b }}", {"a": Block(lines, 5), "b": Block(lines, 0)})
+    assert made.text == "A " + "\n".join(["x" * 8] * 2) + " B " and made.manifest == {"a": [0, 1], "b": []}
+    seen = spark.createDataFrame([(3,)], "seq long")
+    assert not is_stale("h", "h", 3, seen) and is_stale("h", "h", 2, seen) and is_stale("h", "g", 9, seen)
