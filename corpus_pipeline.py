@@ -1,6 +1,6 @@
 """From raw documents to encoded training data, in stages that each call one operator.
 
-Each stage takes (spark, docs, sf_dir) and returns the columns of ``documents``; the last returns token digests.
+Each stage takes (spark, docs, sf_dir) and returns the columns of ``documents``; the last returns token digests and places in the mix.
 ``run`` writes each stage's rows as a Parquet table in the shared folder and reads them for the next one.
 """
 
@@ -41,13 +41,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of the mix."""
-    return mixing.in_mixed_order(mixing.mix(docs)).select(docs.columns)
+    hashed = docs.withColumn("decoded_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return mixing.in_mixed_order(mixing.mix(hashed, ties=("decoded_sha256",))).select(docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token digests of every document."""
+    """Token digests of every document, in the order of the mix: slot and turn are its place there.
+
+    Readers of a Parquet table don't keep its order, so the places are derived again, from the same ids and source counts.
+    """
     ranks, pattern = bpe.public_ranks()
-    return bpe.encode_digest(docs, ranks, pattern, keep=("doc_id", "source")).select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256")
+    coded = bpe.encode_digest(docs, ranks, pattern, keep=("doc_id", "source")).select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256")
+    coded = common.materialise(coded, "encoded")  # mixing reads it more than once
+    return mixing.in_mixed_order(mixing.mix(coded, ties=("decoded_sha256",)), keep=("slot", "turn"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
@@ -61,10 +61,11 @@ def target_weights(counts: Mapping[str, int], power: float = 0.5) -> dict[str, F
     return {s: Fraction(n**power).limit_denominator(1_000_000) for s, n in counts.items()}
 
 
-def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = 256) -> DataFrame:
+def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = 256, ties: Sequence[str] = ()) -> DataFrame:
     """``df`` with block (within the source), slot, release, deadline (all slots from 0) and turn (place within the slot).
 
     Reading by (slot, turn) gives the mix. ``weights``: target by source; by default the square roots of the sizes.
+    Places depend on ids and source counts only; ``ties`` are columns that order rows of one id.
     A source's place numbers come from counts of hashed buckets, so a source with a third of all rows is no hot spot.
     """
     spark = df.sparkSession
@@ -85,13 +86,13 @@ def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source
     rows = rows.withColumn("__bucket", F.pmod(F.col("__order"), F.col("__buckets"))).drop("__buckets")
     sums = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = rows.groupBy("__source", "__bucket").agg(F.count("*").alias("__n")).select("__source", "__bucket", F.coalesce(F.sum("__n").over(sums), F.lit(0)).alias("__before"))
-    own = Window.partitionBy("__source", "__bucket").orderBy("__order", id_col)
+    own = Window.partitionBy("__source", "__bucket").orderBy("__order", id_col, *ties)
     placed = rows.withColumn("__place", F.row_number().over(own) - 1).join(before, ["__source", "__bucket"])
     place = F.col("__before") + F.col("__place")
     placed = placed.withColumn("block", F.floor(place / F.lit(size)).cast("long")).withColumn("turn", (place % size).cast("long"))
     return placed.join(schedule, ["__source", "block"]).select(*[c for c in df.columns if c not in ADDED], *ADDED)
 
 
-def in_mixed_order(mixed: DataFrame) -> DataFrame:
-    """The rows written in the order of the mix: partitions are ranges of slots, sorted."""
-    return mixed.repartitionByRange("slot", "turn").sortWithinPartitions("slot", "turn").drop(*ADDED)
+def in_mixed_order(mixed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The rows written in the order of the mix: partitions are ranges of slots, sorted. ``keep``: added columns that stay."""
+    return mixed.repartitionByRange("slot", "turn").sortWithinPartitions("slot", "turn").drop(*[c for c in ADDED if c not in keep])

@@ -72,3 +72,32 @@ def test_pipeline(spark):
         if name in ("mixing", "encoding"):
             assert rows.count() == before
     assert rows.where("n_tokens > 0").count() == rows.count()
+
+
+def test_pipeline_result_is_in_mixed_order(spark, tmp_path):
+    """The places of run()'s rows are those of brute-force Pfair, with a hot source and two texts under one id."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    words = {lang: sorted({w for r in docs.where(F.col("lang") == lang).select("text").collect() for w in r["text"].split() if w.isalpha()}) for lang in ("en", "de")}
+    rng = random.Random(5)
+    sizes = {"hot": 1500, "a": 500, "b": 300, "c": 90}
+    rows = [(s, lang, " ".join(rng.choices(words[lang], k=60))) for s, n in sizes.items() for lang in [rng.choice(("en", "de"))] for _ in range(n)]
+    rows = [(max(k, 1), t, lang, s, len(t)) for k, (s, lang, t) in enumerate(rows)]
+    spark.createDataFrame(rows, docs.schema).repartition(7).write.parquet(str(tmp_path / "documents.parquet"))
+    first, second = corpus_pipeline.run(spark, str(tmp_path)), corpus_pipeline.run(spark, str(tmp_path))
+    got = first.collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in second.collect()]
+    assert [(r["slot"], r["turn"]) for r in got] == sorted({(r["slot"], r["turn"]) for r in got})
+    counts = {s: sum(r["source"] == s for r in got) for s in sizes}
+    assert all(counts[s] > 0.9 * sizes[s] for s in sizes)
+    blocks, weights = {s: -(-n // 256) for s, n in counts.items()}, mixing.target_weights(counts)
+    plan = {t: (s, b) for s, b, t, _, _ in mixing.pfair({f"s{s}": n for s, n in blocks.items()}, {f"s{s}": w for s, w in weights.items()})}
+    assert {r["slot"] for r in got} == set(plan) and all(f"s{r['source']}" == plan[r["slot"]][0] for r in got)
+    filled = {t: sum(r["slot"] == t for r in got) for t in plan}
+    assert all(filled[t] == min(256, counts[s[1:]] - 256 * b) for t, (s, b) in plan.items())
+    total, done = sum(weights.values()), dict.fromkeys(blocks, 0)
+    for t in sorted(plan):
+        s = next(r["source"] for r in got if r["slot"] == t)
+        done[s] += 1
+        assert all(abs(done[x] - (t + 1) * weights[x] / total) < 1 for x in blocks)
+        if done[s] == blocks[s]:
+            break
