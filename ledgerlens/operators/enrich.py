@@ -21,14 +21,18 @@ def group_ready(rows: DataFrame, own: str = "complete", group: str = "run_id") -
     return rows.withColumn("ready_now", F.when(F.col(group).isNull(), F.col(own)).otherwise(every))
 
 
-def required_queue(rows: DataFrame, most: int = 32) -> DataFrame:
-    """Unready rows to work on: the whole run of the oldest, or the rows before the next run, ``most`` at most."""
-    todo = rows.where(~F.col("ready")).orderBy("seq").limit(most)
-    order = Window.orderBy("seq")
-    first = F.first("run_id").over(order)
-    running = F.max(F.col("run_id").isNotNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    picked = todo.withColumn("first_run", first).withColumn("met_run", running)
-    return picked.where(F.when(F.col("first_run").isNotNull(), F.col("run_id").eqNullSafe(F.col("first_run"))).otherwise(F.col("met_run") == 0)).drop("first_run", "met_run")
+def required_queue(rows: DataFrame, most: int = 32, most_of_run: int = 50) -> DataFrame:
+    """Unready rows to work on: the whole run of the oldest, an error if that is over ``most_of_run`` rows; or, if the
+    oldest has no run, the rows before the next run, ``most`` at most."""
+    todo = rows.where(~F.col("ready"))
+    oldest = todo.orderBy("seq").select("run_id").head()
+    if oldest is not None and oldest["run_id"] is not None:
+        run = todo.where(F.col("run_id") == F.lit(oldest["run_id"]))
+        if len(run.select("run_id").head(most_of_run + 1)) > most_of_run:
+            raise ValueError(f"the run {oldest['run_id']} has over {most_of_run} unready rows")
+        return run
+    running = F.max(F.col("run_id").isNotNull().cast("int")).over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return todo.orderBy("seq").limit(most).withColumn("met_run", running).where("met_run = 0").drop("met_run")
 
 
 def optional_queue(rows: DataFrame, bindings: DataFrame, done: DataFrame) -> DataFrame:

@@ -211,3 +211,15 @@ def test_artifacts(spark):
     assert made.text == "A " + "\n".join(["x" * 8] * 2) + " B " and made.manifest == {"a": [0, 1], "b": []}
     seen = spark.createDataFrame([(3,)], "seq long")
     assert not is_stale("h", "h", 3, seen) and is_stale("h", "h", 2, seen) and is_stale("h", "g", 9, seen)
+
+
+def test_required_queue_takes_the_whole_run(spark):
+    rows = lambda n: spark.createDataFrame([(k, k, "r" if k % 3 == 0 else None if k % 3 == 1 else "other", k % 20 == 19) for k in range(3 * n)], "id long, seq long, run_id string, ready boolean")
+    expected = [k for k in range(0, 150, 3) if k % 20 != 19]
+    assert len(expected) > 32 and sorted(r["id"] for r in enrich.required_queue(rows(50)).collect()) == expected
+    with pytest.raises(ValueError, match="over 50"):
+        enrich.required_queue(rows(60))
+    plain = spark.createDataFrame([(k, k, "r" if k == 40 else None, False) for k in range(60)], "id long, seq long, run_id string, ready boolean")
+    assert sorted(r["id"] for r in enrich.required_queue(plain).collect()) == list(range(32))
+    assert sorted(r["id"] for r in enrich.required_queue(plain.where("id > 29")).collect()) == list(range(30, 40))
+    assert enrich.required_queue(plain.limit(0)).count() == 0
