@@ -15,19 +15,30 @@ def parents(log: DataFrame, id_col: str = "id", column: str = "derived_from") ->
 
 
 def _held(df: DataFrame) -> DataFrame:
-    """The rows of one round, kept: checkpointed where the session has a folder for it, else cached."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
-
-
-def closure(edges: DataFrame, seeds: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(id, distance): seeds and all that descends from them. Each round joins the frontier of the last one only."""
-    known = frontier = seeds.select(F.col("id"), F.lit(0).alias("distance")).distinct()
-    for n in range(1, most_rounds + 1):
+    """The rows of one round without the plan of the rounds before: checkpointed where the session has a folder for it.
+    A local session has no executors to lose, so its own disk will do."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None):
+        return df.checkpoint()
+    return df.localCheckpoint() if (spark.conf.get("spark.master", None) or "").startswith("local") else df.persist()
+
+
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, distance): seeds and all that descends from them. Each round joins the frontier of the last one only.
+
+    Ends at the fix point: ids that are known are not met again, so cycles end too.
+    """
+    edges = _held(edges.select("child", "parent"))
+    known = frontier = _held(seeds.select(F.col("id"), F.lit(0).alias("distance")).distinct())
+    n = 0
+    while True:
+        n += 1
         fresh = _held(edges.join(frontier.select(F.col("id").alias("parent")), "parent").select(F.col("child").alias("id")).distinct().join(known, "id", "left_anti").withColumn("distance", F.lit(n)))
         if not fresh.head(1):
-            break
+            return known
         known, frontier = known.unionByName(fresh), fresh
-    return known
+        if n % 16 == 0:
+            known = _held(known)
 
 
 def erase(log: DataFrame, doomed: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -37,14 +48,20 @@ def erase(log: DataFrame, doomed: DataFrame, id_col: str = "id") -> tuple[DataFr
     return log.join(gone, id_col, "left_anti"), gone.agg(F.count("*").alias("erased"), digest.alias("digest"))
 
 
-def depths(rows: DataFrame, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def depths(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, depth): 0 for roots, else one more than the deepest parent. Round n holds the rows with a path of n steps."""
+    edges = _held(edges.select("child", "parent"))
     level = _held(edges.select(F.col("child").alias("id")).distinct())
+    longest = level.count()  # without a cycle no path has more steps than there are children
     found = rows.select("id", F.lit(0).alias("depth"))
-    for n in range(1, most_rounds + 1):
-        if not level.head(1):
-            break
+    n = 0
+    while level.head(1):
+        n += 1
+        if n > longest:
+            raise ValueError("derived_from has a cycle: depths are not defined")
         found = found.unionByName(level.withColumn("depth", F.lit(n)))
+        if n % 16 == 0:
+            found = _held(found.groupBy("id").agg(F.max("depth").alias("depth")))
         level = _held(edges.join(level.select(F.col("id").alias("parent")), "parent").select(F.col("child").alias("id")).distinct())
     return found.groupBy("id").agg(F.max("depth").alias("depth"))
 
@@ -74,8 +91,16 @@ def expired_slots(log: DataFrame, slot: Sequence[str], horizon: str, time: str =
 
 
 def purge(log: DataFrame, slots: DataFrame, slot: Sequence[str]) -> DataFrame:
-    """Ids of every version of the slots."""
-    return log.join(slots.select(*slot), list(slot), "left_semi").select("id")
+    """Ids of every version of the slots, of the runs that made them, and of all that descends from either."""
+    own = log.join(slots.select(*slot), list(slot), "left_semi")
+    seeds = own.select("id")
+    if "run_id" in log.columns:
+        seeds = seeds.union(own.where("run_id IS NOT NULL").select("run_id"))
+    if "derived_from" in log.columns:
+        seeds = closure(parents(log), seeds).select("id")
+    elif "run_id" not in log.columns:
+        return seeds
+    return log.select("id").join(seeds.distinct(), "id", "left_semi")
 
 
 def coverage(rows: DataFrame, staged: DataFrame) -> DataFrame:

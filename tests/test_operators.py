@@ -223,3 +223,23 @@ def test_required_queue_takes_the_whole_run(spark):
     assert sorted(r["id"] for r in enrich.required_queue(plain).collect()) == list(range(32))
     assert sorted(r["id"] for r in enrich.required_queue(plain.where("id > 29")).collect()) == list(range(30, 40))
     assert enrich.required_queue(plain.limit(0)).count() == 0
+
+
+def test_closure_and_depth_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(k + 1, k) for k in range(110)], "child long, parent long").coalesce(1)
+    ids = spark.range(111).coalesce(1)
+    assert {r["id"]: r["distance"] for r in provenance.closure(edges, ids.where("id = 1")).collect()} == {k: k - 1 for k in range(1, 111)}
+    assert {r["id"]: r["depth"] for r in provenance.depths(ids, edges).collect()} == {k: k for k in range(111)}
+
+
+def test_depths_of_a_cycle_are_an_error(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (3, 2)], "child long, parent long")
+    with pytest.raises(ValueError, match="cycle"):
+        provenance.depths(spark.range(4), edges)
+    assert sorted(r["id"] for r in provenance.closure(edges, spark.range(1, 2)).collect()) == [1, 2, 3]
+
+
+def test_purge_takes_runs_and_descendants(spark):
+    rows = [("a1", "a", "run1", []), ("a2", "a", None, []), ("run1", None, None, []), ("b", "b", None, ["run1"]), ("c", "c", None, ["b", "x"]), ("d", "d", "run2", ["y"]), ("run2", None, None, [])]
+    log = spark.createDataFrame(rows, "id string, key string, run_id string, derived_from array<string>").coalesce(1)
+    assert sorted(r["id"] for r in provenance.purge(log, log.where("key = 'a'").limit(1), ("key",)).collect()) == ["a1", "a2", "b", "c", "run1"]
