@@ -52,6 +52,9 @@ SPELLED = re.compile(r"(?<!\S)(?:\w\W?\s+){2,}\w(?!\S)")
 SIGNS = re.compile(r"[\W_]+")
 #: Signs that stand for letters.
 LEET = str.maketrans("013457@$", "oieastas")
+SIGN_LETTERS = str.maketrans("@$", "as")
+SIGN_LETTER = re.compile(r"[@$]")
+RUN = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -64,17 +67,25 @@ def words_of(text: str | None) -> list[str]:
 
 
 def cleaned(word: str) -> list[str]:
-    """The pieces of a word that are scored."""
-    word = EDGE.sub("", word)
-    if len(word) < 3:
-        return []
-    if not word.isalpha():
-        if sum(map(str.isalpha, word)) * 2 < len(word):
-            return []
-        word = SIGNS.sub("", word.translate(LEET))
-    if len(word) <= LONGEST:
-        return [word]
-    return [word[at : at + LONGEST] for at in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
+    """The pieces of a word that are scored.
+
+    Words with digits or signs are read in two ways: signs dropped and digits read as letters, each run of letters for
+    itself; and the letters alone, whatever parts them. Digits are not read as letters where there is no letter.
+    """
+    bare = EDGE.sub("", word)
+    if bare.isalpha() and not SIGN_LETTER.search(word):
+        read = [bare]
+    else:
+        letters = "".join(filter(str.isalpha, word))
+        as_letters = SIGNS.sub("", EDGE.sub("", word.translate(LEET if letters else SIGN_LETTERS)))
+        read = list(dict.fromkeys([*RUN.findall(as_letters), letters]))
+    out = []
+    for r in read:
+        if 3 <= len(r) <= LONGEST:
+            out.append(r)
+        elif len(r) > LONGEST:
+            out += [r[at : at + LONGEST] for at in range(0, len(r) - LONGEST // 2, LONGEST // 2)]
+    return out
 
 
 class Letters:

@@ -170,3 +170,13 @@ def test_surrogates_over_a_table(spark):
     new = [e for k in range(40) for *_, e in surrogates.entities(got[k]["text"])]
     assert not old & set(new) and len(set(new)) == len(old)
     assert surrogates.replace_entities(docs.limit(0), KEY).count() == 0
+
+
+@pytest.mark.parametrize("word", ["i--d--i--o--t", "i***d***i***o***t", "1d10t", "idiot_20241126", "idiot/12345678", "i1d2i3o4t", "20241126-1d10t"])
+def test_insults_with_few_letters_are_read(word):
+    assert any(p.startswith("idiot") or p.endswith("idiot") for p in toxicity.cleaned(word))
+
+
+def test_numbers_and_marks_are_no_words():
+    assert [toxicity.cleaned(w) for w in ("20241126", "1.000,50", "--", "$100", "a1", "")] == [[]] * 6
+    assert toxicity.cleaned("$hit!") == ["shit", "hit"] and toxicity.cleaned("@$$") == ["ass"]
