@@ -34,7 +34,17 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["written_to"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables whose last reader is done: what is computed later must not depend on them."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.__dict__["written_to"])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

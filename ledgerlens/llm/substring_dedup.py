@@ -2,23 +2,29 @@
 
 A word goes if a window of ``WINDOW`` words that covers it also starts in a document with a smaller id.
 
-1. Anchors: of the phrases of ``PHRASE`` words in each window the one with the least hash (a minimiser, about 2 in 40
-   positions). Equal windows have equal anchors, so a window can recur only if its anchor is in two documents.
-2. Confirmation: documents with recurring anchors emit the hashes of their candidate windows; windows found in more
-   than one document are confirmed, and the smallest id among them owns the window.
-3. Automata: an owner's confirmed windows form passages. Each passage is cut into blocks of half a window, so that every
-   confirmed window holds a whole block; an Aho-Corasick automaton for each owner finds these blocks. Words are letters
-   of its alphabet: a word is one code point, so a block is a short string whatever the words' lengths.
-4. Streaming: the documents that share windows with an owner pass through its automaton, whole. Every place where a
-   block occurs gives the windows around it, which are then checked against the owner's windows.
-5. The marked words of a document, over all owners, are removed.
-
-Owners are the shards: the automaton of an owner with very many followers is built in several tasks (``FOLLOWERS``
-documents each), and one task holds one automaton at a time.
-
-Defined cases: null and empty texts have no words; fewer than ``WINDOW`` words lose nothing; rows that share an id are
-judged one by one against smaller ids, never against each other; rows with a null id lose nothing and own nothing;
-passages that repeat within one document stay; an empty table gives no rows; other columns are ignored.
+1. Phrases: a window's anchor is the phrase of ``PHRASE`` words in it with the least hash (a minimiser). Neighbouring
+   windows with the same anchor form a span of at most 88 words. Equal windows have equal anchors, so a window can recur
+   only around an anchor that is in two documents; only spans of such anchors go on.
+2. Recurring passages: equal spans are one class, with its smallest document. Where all spans of an anchor are equal, the
+   whole span recurs. Where they differ (the borders of a passage, a phrase in many contexts), one document of each class
+   gives its windows, and windows that are in two classes tell which part recurs, and where it is first.
+3. Automata: documents are dealt into shards of about ``SHARD_BYTES`` by a hash. A shard gets the passages that may be in
+   one of its documents, cut from the texts of the first documents, each once. Passages are cut into blocks of half a
+   window, so that every window of a passage holds a whole block; these blocks make the shard's Aho-Corasick automaton.
+   Words are the letters of its alphabet: a word is one code point, so a block is a short string whatever its words.
+4. Streaming: every document passes through the automaton of its shard, whole and once. Where a block occurs, words are
+   compared with the passage to both sides; a run of ``WINDOW`` equal words or more, in a passage of a smaller document,
+   is an occurrence, and its words go.
+
+Hashes only choose which passages a shard gets; what is removed is decided by the automaton's hits and by comparing
+words, so two texts with one hash are never taken for each other. The 64-bit hashes can hide a repeat only if two
+different recurring windows share one.
+
+A hot passage is one row a shard; a document's text is sent once, whatever it shares with others; classes are
+pre-aggregated in tasks. Defined cases: null and empty texts have no words; fewer than ``WINDOW`` words lose nothing;
+rows that share an id are judged one by one against smaller ids, never against each other; rows with a null id lose
+nothing and no row loses words for them; passages that repeat within one document stay; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +39,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import common
 
-WINDOW, PHRASE, FOLLOWERS = 50, 12, 100
-#: Documents in which the words of an automaton's alphabet are looked up have other words too; they share this letter.
+WINDOW, PHRASE, SHARD_BYTES = 50, 12, 16 << 20
+#: Words of a document that are in none of a shard's passages share this letter, which no passage has.
 OTHER = "\x01"
 
 
@@ -42,195 +48,276 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def anchor_of_windows(hashes: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> np.ndarray:
-    """For each window of words the least phrase hash in it."""
+def anchor_of_windows(hashes: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of words the place of the least phrase in it, the last one of equals; and the phrases' hashes.
+
+    Hashes are compared without their 6 lowest bits, which hold places while minima are taken.
+    """
     x = common.rolled(hashes, phrase)
     width = window - phrase + 1
-    # sliding minimum by blocks: least to the left and least to the right of block borders
     n = len(x) - width + 1
-    padded = np.concatenate([x, np.full(-len(x) % width, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, width)
-    ahead = np.minimum.accumulate(padded, 1).ravel()
-    behind = np.minimum.accumulate(padded[:, ::-1], 1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
-
+    # sliding minimum by blocks: least to the left and least to the right of block borders
+    low = np.uint64(63)
+    later = (width - 1 - np.arange(len(x)) % width).astype(np.uint64)  # less for later places in a block
+    padded = np.concatenate([(x & ~low) | later, np.full(-len(x) % width, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, width)
+    ahead = np.minimum.accumulate(padded, 1).ravel()[width - 1 : width - 1 + n]
+    behind = np.minimum.accumulate(padded[:, ::-1], 1)[:, ::-1].ravel()[:n]
+    right = (ahead & ~low) <= (behind & ~low)
+    block = np.where(right, np.arange(width - 1, width - 1 + n), np.arange(n)) // width
+    return block * width + (width - 1 - (np.where(right, ahead, behind) & low).astype(np.int64)), x
+
+
+def spans(words: list[bytes], hash_of: common.HashOfWord) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, span, start, windows) of the different spans of a document with at least ``WINDOW`` words."""
+    h = hash_of.all(words)
+    place, phrases = anchor_of_windows(h)
+    windows = common.rolled(h, WINDOW)
+    start = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
+    n = np.diff(np.concatenate([start, [len(place)]]))
+    with np.errstate(over="ignore"):  # the first and the last window of a span hold all its words
+        span = common.mix(common.mix(windows[start] * common.MULTIPLIER + windows[start + n - 1]) + n.astype(np.uint64))
+    _, first = np.unique(span, return_index=True)
+    return phrases[place[start[first]]].view(np.int64), span[first].view(np.int64), start[first], n[first]
+
+
+def sharded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """(id, text, shard) of every row, and the number of shards. Ids and texts decide, so equal ids are spread."""
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(common.partitions(df.sparkSession), -(-size // SHARD_BYTES))
+    return docs.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int")), shards
 
-def key_of(text: str | None) -> bytes:
-    """Tells rows that share an id apart."""
-    return hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=8).digest()
 
+def wanted_passages(docs: DataFrame) -> DataFrame:
+    """(shard, source, ranges): the word ranges of documents that may recur in a shard's documents with larger ids.
 
-def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, starts, stops): word ranges to remove, by id and the digest of the text (``key_of``)."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    ``docs`` has id, text and shard. Each step is a written table; what is no longer read is deleted.
+    """
 
-    def anchors():
-        words = common.HashOfWord()
+    def find():
+        hash_of = common.HashOfWord()
 
         def work(columns: dict[str, list]) -> dict[str, list]:
-            ids, found = [], []
-            for i, text in zip(columns["id"], columns["text"]):
+            own, found = [], []
+            for k, text in enumerate(columns["text"]):
                 w = split(text)
                 if len(w) >= WINDOW:
-                    a = np.unique(anchor_of_windows(words.all(w)))
-                    ids.append(np.full(len(a), i))
-                    found.append(a.view(np.int64))
-            return {"id": pa.array(np.concatenate(ids) if ids else [], pa.int64()), "anchor": pa.array(np.concatenate(found) if found else [], pa.int64())}
+                    found.append(spans(w, hash_of))
+                    own.append(np.full(len(found[-1][0]), k))
+            at = np.concatenate(own) if own else np.empty(0, int)
+            anchor, span, start, n = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int) for _ in range(4))
+            return {
+                "id": pa.array(np.array(columns["id"], np.int64)[at]), "shard": pa.array(np.array(columns["shard"], np.int32)[at]),
+                "anchor": pa.array(anchor, pa.int64()), "span": pa.array(span, pa.int64()), "start": pa.array(start, pa.int32()), "n": pa.array(n, pa.int32()),
+            }
 
         return work
 
-    anchored = common.materialise(common.map_rows(docs, "id long, anchor long", anchors), "anchors")
-    shared = anchored.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
-    hits = anchored.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))  # at most one a word of the document
-    likely = common.keep_likely(docs, hits.select("id"), "id")
-    candidates = common.materialise(likely.join(hits, "id"), "candidates")
+    known = docs.where("id IS NOT NULL AND text IS NOT NULL")
+    every = common.materialise(common.map_rows(known.select("id", "shard", "text"), "id long, shard int, anchor long, span long, start int, n int", find), "spans")
+    shared = common.materialise(every.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"), "anchors")
+    met = common.materialise(common.keep_likely(every, shared, "anchor").join(shared, "anchor"), "shared-spans")
+    common.discard(every, shared)
+
+    classes = met.groupBy("anchor", "span").agg(F.min(F.struct("id", "start", "n")).alias("first"), F.max("id").alias("high"))
+    classes = common.materialise(classes.select("anchor", "span", "high", "first.*"), "classes")
+    several = classes.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    whole = classes.join(several, "anchor", "left_anti").where("id < high").select("anchor", "span", F.col("id").alias("source"), "start", (F.col("start") + F.col("n") + WINDOW - 1).alias("stop"))
+    parts, used = _shared_parts(docs, classes.join(several, "anchor", "left_semi"))
+    places = common.materialise(whole.unionAll(parts), "places")
+    common.discard(classes, *used)
+
+    there = met.groupBy("anchor", "span", "shard").agg(F.max("id").alias("id"))
+    needed = there.join(places, ["anchor", "span"]).where("source < id").groupBy("shard", "source").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))  # at most one a word of the source
+    needed = common.materialise(needed, "passages")
+    common.discard(met, places)
+    return needed
+
+
+def _shared_parts(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(anchor, span, source, start, stop) for spans whose anchor is in different spans too, and the tables this reads.
+
+    Only the first document of each class gives its windows, not all that have the span.
+    """
+    firsts = classes.groupBy("id").agg(F.collect_list(F.struct("anchor", "span", "high", "start", "n")).alias("own"))  # at most one a word of the document
+    firsts = common.materialise(firsts, "firsts")
 
     def windows():
-        words = common.HashOfWord()
+        hash_of = common.HashOfWord()
 
         def work(columns: dict[str, list]) -> dict[str, list]:
-            ids, found = [], []
-            for i, text, own in zip(columns["id"], columns["text"], columns["anchors"]):
+            rows: list[tuple] = []
+            found = []
+            for i, text, own in zip(columns["id"], columns["text"], columns["own"]):
                 w = split(text)
-                if len(w) >= WINDOW:
-                    h = words.all(w)
-                    mask = np.isin(anchor_of_windows(h), np.array(own, np.int64).view(np.uint64))
-                    x = np.unique(common.rolled(h, WINDOW)[mask]).view(np.int64)
-                    ids.append(np.full(len(x), i))
+                if len(w) < WINDOW:
+                    continue
+                all_ = common.rolled(hash_of.all(w), WINDOW).view(np.int64)
+                for s in own:
+                    x = all_[s["start"] : s["start"] + s["n"]]
+                    rows.append((i, s["anchor"], s["span"], s["high"], s["start"], len(x)))
                     found.append(x)
-            return {"id": pa.array(np.concatenate(ids) if ids else [], pa.int64()), "window": pa.array(np.concatenate(found) if found else [], pa.int64())}
+            n = [r[-1] for r in rows]
+            flat = {name: np.repeat(np.array([r[k] for r in rows], np.int64), n) for k, name in enumerate(("id", "anchor", "span", "high", "start"))}
+            offset = np.concatenate([np.arange(k) for k in n]) if rows else np.empty(0, np.int64)
+            return {k: pa.array(v) for k, v in flat.items() if k != "start"} | {"window": pa.array(np.concatenate(found) if found else [], pa.int64()), "start": pa.array(flat["start"] + offset, pa.int32())}
 
         return work
 
-    seen = common.materialise(common.map_rows(candidates, "id long, window long", windows).distinct(), "windows")
-    owned = seen.groupBy("window").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").select("window", "owner")
-    owned = common.materialise(owned, "owned")
-    follows = common.materialise(seen.join(owned, "window").where("owner < id").select("owner", "id").distinct(), "follows")
-    return _stream(candidates.select("id", "text"), owned, follows)
+    texts = common.keep_likely(docs.select("id", "text"), firsts, "id").join(firsts, "id")
+    seen = common.materialise(common.map_rows(texts, "id long, anchor long, span long, high long, window long, start int", windows), "windows")
+    first = seen.groupBy("window").agg(F.min(F.struct("id", "start")).alias("first"), F.max("high").alias("last")).where("first.id < last")
+    both = seen.select("window", "anchor", "span", "high").join(first.select("window", F.col("first.id").alias("source"), F.col("first.start").alias("at")), "window").where("source < high")
+    # the shared windows of two spans follow each other; a source that has them twice gives two ranges
+    near = both.groupBy("anchor", "span", "source", F.floor(F.col("at") / (2 * WINDOW)).alias("near"))
+    return near.agg(F.min("at").alias("start"), (F.max("at") + WINDOW).alias("stop")).drop("near"), [firsts, seen]
 
 
-def _stream(candidates: DataFrame, owned: DataFrame, follows: DataFrame) -> DataFrame:
-    """Build the owners' automata and pass their followers through them."""
-    passages = owned.groupBy("owner").agg(F.collect_list("window").alias("windows"))  # at most one a word of the owner
-    # An owner with many followers is dealt over several shards, each with its own copy of the passages.
-    counts = follows.groupBy("owner").agg(F.count("*").alias("n"))
-    shards = F.ceil(F.col("n") / F.lit(FOLLOWERS)).cast("int")
-    owners = passages.join(counts, "owner").join(candidates.withColumnRenamed("id", "owner"), "owner")
-    owners = owners.select("owner", F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard"), F.lit(None).cast("long").alias("id"), "text", "windows")
-    followers = follows.join(counts, "owner").select("owner", F.pmod(F.xxhash64("id"), shards).cast("int").alias("shard"), "id")
-    followers = followers.join(candidates, "id").select("owner", "shard", "id", "text", F.lit(None).cast("array<long>").alias("windows"))
-    rows = owners.unionByName(followers).repartition("owner", "shard").sortWithinPartitions("owner", "shard", F.col("id").asc_nulls_first())
-    return rows.mapInArrow(_located, "id long, row binary, starts array<int>, stops array<int>").groupBy("id", "row").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("stops")).alias("stops"))
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping word ranges as one."""
+    out: list[list[int]] = []
+    for start, stop in sorted(ranges):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(stop, out[-1][1])
+        else:
+            out.append([start, stop])
+    return [(a, b) for a, b in out]
 
 
 class Shard:
-    """The automaton of one owner."""
+    """The passages that may be in a shard's documents, and their automaton."""
 
-    def __init__(self, words: common.HashOfWord) -> None:
-        self.words, self.letters, self.windows, self.automaton = words, {}, np.empty(0, np.uint64), None
+    def __init__(self) -> None:
+        self.letters: dict[bytes, str] = {}
+        self.passages: list[tuple[int, str, list[bytes] | None]] = []
+        self.blocks: dict[str, list[tuple[int, int]]] = {}
+        self.automaton = None
 
-    def add(self, text: str, windows: list[int]) -> None:
-        """One row of the owner; rows that share the owner's id add to one automaton."""
-        import ahocorasick
-
-        self.automaton = self.automaton or ahocorasick.Automaton()
-        self.windows = np.unique(np.concatenate([self.windows, np.array(windows, np.int64).view(np.uint64)]))
-        w = split(text)
-        if len(w) < WINDOW:
+    def add(self, source: int, words: list[bytes]) -> None:
+        """A passage of the document ``source``."""
+        if len(words) < WINDOW:
             return
-        mask = np.isin(common.rolled(self.words.all(w), WINDOW), self.windows)
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-        half = WINDOW // 2
-        for start, stop in zip(edges[::2].tolist(), edges[1::2].tolist()):  # windows start..stop-1: a passage
-            passage = "".join([self.letters.setdefault(x, chr(point(len(self.letters)))) for x in w[start : stop + WINDOW - 1]])
-            for at in range(0, len(passage) - half + 1, half):
-                self.automaton.add_word(passage[at : at + half], half)
+        line = "".join([self.letters.setdefault(x, letter(len(self.letters))) for x in words])
+        full = len(self.letters) > MOST_LETTERS  # some words share the last letter: words are compared besides
+        for at in range(0, len(line) - HALF + 1, HALF):
+            self.blocks.setdefault(line[at : at + HALF], []).append((len(self.passages), at))
+        self.passages.append((source, line, words if full else None))
 
     def ready(self) -> None:
-        if self.automaton is not None and len(self.automaton):
+        import ahocorasick
+
+        if self.blocks:
+            self.automaton = ahocorasick.Automaton()
+            for block, places in self.blocks.items():
+                self.automaton.add_word(block, places)
             self.automaton.make_automaton()
 
-    def marked(self, text: str) -> tuple[list[int], list[int]]:
-        """Ranges of words that the owner's windows cover."""
-        w = split(text)
-        if self.automaton is None or not len(self.automaton) or len(w) < WINDOW:
-            return [], []
-        half, last = WINDOW // 2, len(w) - WINDOW
-        line = "".join([self.letters.get(x, OTHER) for x in w])
-        near = np.zeros(len(w) + 2, np.int32)
-        for end, _ in self.automaton.iter(line):  # the block is words end-half+1..end; windows that hold it start at end-WINDOW+1 or later
-            low, high = max(0, end - WINDOW + 1), min(last, end - half + 1)
-            if low <= high:
-                near[low] += 1
-                near[high + 1] -= 1
-        starts = np.flatnonzero(np.cumsum(near)[: last + 1])
-        if not len(starts):
-            return [], []
-        starts = starts[np.isin(common.rolled(self.words.all(w), WINDOW)[starts], self.windows)]
-        if not len(starts):
-            return [], []
-        breaks = np.flatnonzero(np.diff(starts) > WINDOW)
-        return starts[np.concatenate([[0], breaks + 1])].tolist(), (starts[np.concatenate([breaks, [len(starts) - 1]])] + WINDOW).tolist()
-
-
-def point(n: int) -> int:
-    """A code point for the n-th word, past the surrogates: over a million words in one owner's passages share no letter."""
+    def marked(self, words: list[bytes], own: int) -> list[tuple[int, int]]:
+        """Word ranges that also are in a passage of a document with a smaller id than ``own``."""
+        if self.automaton is None or len(words) < WINDOW:
+            return []
+        get = self.letters.get
+        line = "".join([get(x, OTHER) for x in words])
+        out, reached = [], {}
+        for end, places in self.automaton.iter(line):
+            for k, at in places:
+                source, passage, exact = self.passages[k]
+                if source >= own:
+                    continue
+                shift = end + 1 - HALF - at  # the place in the line that the passage's first word falls on
+                if reached.get((k, shift), -1) >= end:
+                    continue
+                low, high = at, at + HALF  # equal words, as places in the passage
+                first, last = max(0, -shift), min(len(passage), len(line) - shift)
+                while low > first and passage[low - 1] == line[low - 1 + shift]:
+                    low -= 1
+                while high < last and passage[high] == line[high + shift]:
+                    high += 1
+                reached[k, shift] = high + shift - 1
+                if high - low >= WINDOW:
+                    out += [(low + shift, high + shift)] if exact is None else equal_runs(exact, words, low, high, shift)
+        return merged(out)
+
+
+HALF = WINDOW // 2
+MOST_LETTERS = 0x110000 - 0x800 - 3
+
+
+def letter(n: int) -> str:
+    """The code point of the n-th word, past the surrogates; words past ``MOST_LETTERS`` share the last one."""
     n += 2
     n += 0x800 * (n >= 0xD800)
-    return min(n, 0x10FFFF)  # beyond that, words share the last letter: more places to check, none missed
+    return chr(min(n, 0x10FFFF))
+
+
+def equal_runs(passage: list[bytes], words: list[bytes], low: int, high: int, shift: int) -> list[tuple[int, int]]:
+    """Runs of at least ``WINDOW`` equal words between places ``low`` and ``high`` of a passage."""
+    out, start = [], low
+    for k in range(low, high + 1):
+        if k == high or passage[k] != words[k + shift]:
+            if k - start >= WINDOW:
+                out.append((start + shift, k + shift))
+            start = k + 1
+    return out
+
 
+def _cut():
+    def work(columns: dict[str, list]) -> dict[str, list]:
+        out = []
+        for text, ranges in zip(columns["text"], columns["ranges"]):
+            w = split(text)
+            pieces = [w[a:b] for a, b in merged([(r["start"], r["stop"]) for r in ranges])]
+            out.append([b" ".join(p).decode("utf-8", "surrogatepass") for p in pieces if len(p) >= WINDOW])
+        return {"shard": columns["shard"], "source": columns["source"], "passages": out}
 
-def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = common.HashOfWord()
-    current, shard = None, Shard(words)
+    return work
+
+
+RESULT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard's passages come first, then its documents."""
+    current, shard, built = None, Shard(), False
     for whole in batches:
         for at in range(0, whole.num_rows, common.BATCH_ROWS):
             batch = whole.slice(at, common.BATCH_ROWS)
             out: list[tuple] = []
-            for owner, part, i, text, windows in zip(*(c.to_pylist() for c in batch.columns)):
-                if (owner, part) != current:
-                    current, shard, built = (owner, part), Shard(words), False
-                if i is None:
-                    shard.add(text, windows)
+            for number, source, passages, i, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if number != current:
+                    current, shard, built = number, Shard(), False
+                if source is not None:
+                    for p in passages:
+                        shard.add(source, split(p))
                     continue
                 if not built:
                     shard.ready()
                     built = True
-                starts, stops = shard.marked(text)
-                if starts:
-                    out.append((i, key_of(text), starts, stops))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())))], names=["id", "row", "starts", "stops"])
+                w = split(text)
+                gone = shard.marked(w, i) if i is not None else []
+                kept = without(w, gone) if gone else w
+                joined = b" ".join(kept)
+                out.append((i, len(w), len(w) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass") if gone else None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(RESULT)], schema=RESULT)
 
 
-def without(words: list[bytes], starts: list[int], stops: list[int]) -> list[bytes]:
-    """``words`` without the ranges, which may overlap."""
-    gone = np.zeros(len(words) + 1, np.int32)
-    np.add.at(gone, np.array(starts, int), 1)
-    np.add.at(gone, np.array(stops, int), -1)
-    keep = np.cumsum(gone)[:-1] == 0
-    return [w for w, k in zip(words, keep.tolist()) if k]
+def without(words: list[bytes], ranges: list[tuple[int, int]]) -> list[bytes]:
+    """``words`` without the ranges, which are in order and apart."""
+    out, at = [], 0
+    for start, stop in ranges:
+        out += words[at:start]
+        at = stop
+    return out + words[at:]
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``df``: id, n_words, n_removed, kept_sha256, and kept_text where words were removed (else null)."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ranges = common.materialise(repeated_passages(df, id_col, text_col), "ranges")
-
-    def plain():
-        def work(columns: dict[str, list]) -> dict[str, list]:
-            w = [split(t) for t in columns["text"]]
-            return {"id": columns["id"], "row": [key_of(t) for t in columns["text"]], "n_words": [len(x) for x in w], "sha": [hashlib.sha256(b" ".join(x)).hexdigest() for x in w]}
-
-        return work
-
-    def cut():
-        def work(columns: dict[str, list]) -> dict[str, list]:
-            kept = [(i, r, without(split(t), a, b), len(split(t))) for i, r, t, a, b in zip(*(columns[c] for c in ("id", "row", "text", "starts", "stops"))) if key_of(t) == r]
-            joined = [b" ".join(k[2]) for k in kept]
-            return {"id": [k[0] for k in kept], "row": [k[1] for k in kept], "n_removed": [k[3] - len(k[2]) for k in kept], "cut_sha": [hashlib.sha256(x).hexdigest() for x in joined], "kept_text": [x.decode("utf-8", "surrogatepass") for x in joined]}
-
-        return work
-
-    likely = common.keep_likely(docs, ranges.select("id").distinct(), "id")
-    changed = common.map_rows(likely.join(ranges, "id").select("id", "row", "text", "starts", "stops"), "id long, row binary, n_removed long, cut_sha string, kept_text string", cut).dropDuplicates(["id", "row"])
-    rows = common.map_rows(docs, "id long, row binary, n_words long, sha string", plain).join(changed, ["id", "row"], "left")
-    return rows.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("cut_sha", "sha").alias("kept_sha256"), "kept_text")
+    docs, shards = sharded(df, id_col, text_col)
+    needed = wanted_passages(docs)
+    sources = common.keep_likely(docs.select(F.col("id").alias("source"), "text"), needed.select("source").distinct(), "source").join(needed, "source")
+    passages = common.map_rows(sources.select("shard", "source", "text", "ranges"), "shard int, source long, passages array<string>", _cut)
+    nothing = F.lit(None)
+    rows = passages.select("shard", "source", "passages", nothing.cast("long").alias("id"), nothing.cast("string").alias("text"))
+    rows = rows.unionByName(docs.select("shard", nothing.cast("long").alias("source"), nothing.cast("array<string>").alias("passages"), "id", "text"))
+    rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("source").asc_nulls_last())
+    return rows.mapInArrow(_streamed, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string").withColumnRenamed("id", id_col)

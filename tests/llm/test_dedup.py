@@ -147,8 +147,11 @@ def test_anchor_is_the_least_phrase_of_each_window():
     x = np.random.default_rng(1).integers(0, 2**63, 200, dtype=np.uint64)
     phrases = common.rolled(x, substring_dedup.PHRASE)
     width = 50 - substring_dedup.PHRASE + 1
-    assert substring_dedup.anchor_of_windows(x).tolist() == [phrases[k : k + width].min() for k in range(151)]
-    assert len(substring_dedup.anchor_of_windows(x[:50])) == 1
+    place, found = substring_dedup.anchor_of_windows(x)
+    assert (found == phrases).all() and place.tolist() == [k + int(phrases[k : k + width].argmin()) for k in range(151)]
+    assert len(substring_dedup.anchor_of_windows(x[:50])[0]) == 1
+    same = np.repeat(np.uint64(7), 200)  # of equal phrases the last one
+    assert substring_dedup.anchor_of_windows(same)[0].tolist() == list(range(38, 189))
 
 
 def test_components_of_a_path_and_a_star(spark):
