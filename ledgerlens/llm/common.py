@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -138,3 +139,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(29))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
+
+
+#: Bytes of a text that are hashed at once, to the end of a word.
+PIECE = 1 << 20
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
+with np.errstate(over="ignore"):
+    BYTES = mix(mix(np.arange(1, 257, dtype=np.uint64) * MULTIPLIER))
+BASE = 0xD1342543DE82EF95
+INVERSE = pow(BASE, -1, 1 << 64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, in order, without a Python object a word.
+
+    A word's hash is a polynomial of its bytes modulo 2^64, from differences of sums over the whole text, scrambled.
+    """
+    out, at = [], 0
+    while at < len(text):
+        found = SPACE.search(text, at + PIECE)
+        stop = found.start() if found else len(text)
+        out.append(_hashes_of_piece(np.frombuffer(text, np.uint8, stop - at, at)))
+        at = stop
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def _hashes_of_piece(raw: np.ndarray) -> np.ndarray:
+    n = len(raw)
+    with np.errstate(over="ignore"):
+        if len(_powers[0]) < n:
+            _powers[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, x, np.uint64)])) for x in (BASE, INVERSE)]
+        edges = np.diff(np.concatenate([[False], ~SPACES[raw], [False]]).view(np.int8))
+        start, stop = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES[raw] * _powers[1][:n])])
+        return mix((sums[stop] - sums[start]) * _powers[0][start] + (stop - start).astype(np.uint64) * MULTIPLIER)

@@ -11,7 +11,7 @@ A word goes if a window of ``WINDOW`` words that covers it also starts in a docu
 3. Automata: documents are dealt into shards of about ``SHARD_BYTES`` by a hash. A shard gets the passages that may be in
    one of its documents, cut from the texts of the first documents, each once. Passages are cut into blocks of half a
    window, so that every window of a passage holds a whole block; these blocks make the shard's Aho-Corasick automaton.
-   Words are the letters of its alphabet: a word is one code point, so a block is a short string whatever its words.
+   A word is written as a few letters, the same number for all words of a shard, so a block is a short string.
 4. Streaming: every document passes through the automaton of its shard, whole and once. Where a block occurs, words are
    compared with the passage to both sides; a run of ``WINDOW`` equal words or more, in a passage of a smaller document,
    is an occurrence, and its words go.
@@ -40,12 +40,12 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import common
 
 WINDOW, PHRASE, SHARD_BYTES = 50, 12, 16 << 20
-#: Words of a document that are in none of a shard's passages share this letter, which no passage has.
+#: Words of a document that are in none of a shard's passages are written in this letter, which no passage has.
 OTHER = "\x01"
 
 
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
+def split(text: bytes | None) -> list[bytes]:
+    return (text or b"").split()
 
 
 def anchor_of_windows(hashes: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray]:
@@ -67,9 +67,8 @@ def anchor_of_windows(hashes: np.ndarray, window: int = WINDOW, phrase: int = PH
     return block * width + (width - 1 - (np.where(right, ahead, behind) & low).astype(np.int64)), x
 
 
-def spans(words: list[bytes], hash_of: common.HashOfWord) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, span, start, windows) of the different spans of a document with at least ``WINDOW`` words."""
-    h = hash_of.all(words)
+def spans(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, span, start, windows) of the different spans of a document, from the hashes of its ``WINDOW`` words or more."""
     place, phrases = anchor_of_windows(h)
     windows = common.rolled(h, WINDOW)
     start = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
@@ -81,8 +80,8 @@ def spans(words: list[bytes], hash_of: common.HashOfWord) -> tuple[np.ndarray, n
 
 
 def sharded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """(id, text, shard) of every row, and the number of shards. Ids and texts decide, so equal ids are spread."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """(id, text in UTF-8, shard) of every row, and the number of shards. Ids and texts decide, so equal ids are spread."""
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(common.partitions(df.sparkSession), -(-size // SHARD_BYTES))
     return docs.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int")), shards
@@ -95,14 +94,12 @@ def wanted_passages(docs: DataFrame) -> DataFrame:
     """
 
     def find():
-        hash_of = common.HashOfWord()
-
         def work(columns: dict[str, list]) -> dict[str, list]:
             own, found = [], []
             for k, text in enumerate(columns["text"]):
-                w = split(text)
-                if len(w) >= WINDOW:
-                    found.append(spans(w, hash_of))
+                h = common.word_hashes(text)
+                if len(h) >= WINDOW:
+                    found.append(spans(h))
                     own.append(np.full(len(found[-1][0]), k))
             at = np.concatenate(own) if own else np.empty(0, int)
             anchor, span, start, n = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int) for _ in range(4))
@@ -121,11 +118,11 @@ def wanted_passages(docs: DataFrame) -> DataFrame:
 
     classes = met.groupBy("anchor", "span").agg(F.min(F.struct("id", "start", "n")).alias("first"), F.max("id").alias("high"))
     classes = common.materialise(classes.select("anchor", "span", "high", "first.*"), "classes")
-    several = classes.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    several = common.materialise(classes.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "several")  # written, so that joins with it can split hot anchors
     whole = classes.join(several, "anchor", "left_anti").where("id < high").select("anchor", "span", F.col("id").alias("source"), "start", (F.col("start") + F.col("n") + WINDOW - 1).alias("stop"))
     parts, used = _shared_parts(docs, classes.join(several, "anchor", "left_semi"))
     places = common.materialise(whole.unionAll(parts), "places")
-    common.discard(classes, *used)
+    common.discard(classes, several, *used)
 
     there = met.groupBy("anchor", "span", "shard").agg(F.max("id").alias("id"))
     needed = there.join(places, ["anchor", "span"]).where("source < id").groupBy("shard", "source").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))  # at most one a word of the source
@@ -143,16 +140,14 @@ def _shared_parts(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[
     firsts = common.materialise(firsts, "firsts")
 
     def windows():
-        hash_of = common.HashOfWord()
-
         def work(columns: dict[str, list]) -> dict[str, list]:
             rows: list[tuple] = []
             found = []
             for i, text, own in zip(columns["id"], columns["text"], columns["own"]):
-                w = split(text)
-                if len(w) < WINDOW:
+                h = common.word_hashes(text)
+                if len(h) < WINDOW:
                     continue
-                all_ = common.rolled(hash_of.all(w), WINDOW).view(np.int64)
+                all_ = common.rolled(h, WINDOW).view(np.int64)
                 for s in own:
                     x = all_[s["start"] : s["start"] + s["n"]]
                     rows.append((i, s["anchor"], s["span"], s["high"], s["start"], len(x)))
@@ -167,10 +162,11 @@ def _shared_parts(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[
     texts = common.keep_likely(docs.select("id", "text"), firsts, "id").join(firsts, "id")
     seen = common.materialise(common.map_rows(texts, "id long, anchor long, span long, high long, window long, start int", windows), "windows")
     first = seen.groupBy("window").agg(F.min(F.struct("id", "start")).alias("first"), F.max("high").alias("last")).where("first.id < last")
-    both = seen.select("window", "anchor", "span", "high").join(first.select("window", F.col("first.id").alias("source"), F.col("first.start").alias("at")), "window").where("source < high")
+    first = common.materialise(first.select("window", F.col("first.id").alias("source"), F.col("first.start").alias("at")), "recurring")
+    both = seen.select("window", "anchor", "span", "high").join(first, "window").where("source < high")
     # the shared windows of two spans follow each other; a source that has them twice gives two ranges
     near = both.groupBy("anchor", "span", "source", F.floor(F.col("at") / (2 * WINDOW)).alias("near"))
-    return near.agg(F.min("at").alias("start"), (F.max("at") + WINDOW).alias("stop")).drop("near"), [firsts, seen]
+    return near.agg(F.min("at").alias("start"), (F.max("at") + WINDOW).alias("stop")).drop("near"), [firsts, seen, first]
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -184,81 +180,81 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+HALF = WINDOW // 2
+#: Letters of the alphabet for each place in a word's code: an automaton's node looks through its edges one by one.
+BASE = 64
+
+
 class Shard:
     """The passages that may be in a shard's documents, and their automaton."""
 
     def __init__(self) -> None:
-        self.letters: dict[bytes, str] = {}
-        self.passages: list[tuple[int, str, list[bytes] | None]] = []
-        self.blocks: dict[str, list[tuple[int, int]]] = {}
+        self.number: dict[bytes, int] = {}
+        self.passages: list[tuple[int, list[int]]] = []
+        self.lines: list[str] = []
         self.automaton = None
 
     def add(self, source: int, words: list[bytes]) -> None:
         """A passage of the document ``source``."""
-        if len(words) < WINDOW:
-            return
-        line = "".join([self.letters.setdefault(x, letter(len(self.letters))) for x in words])
-        full = len(self.letters) > MOST_LETTERS  # some words share the last letter: words are compared besides
-        for at in range(0, len(line) - HALF + 1, HALF):
-            self.blocks.setdefault(line[at : at + HALF], []).append((len(self.passages), at))
-        self.passages.append((source, line, words if full else None))
+        if len(words) >= WINDOW:
+            self.passages.append((source, [self.number.setdefault(x, len(self.number)) for x in words]))
 
     def ready(self) -> None:
+        """Code the words, cut the passages into blocks and build the automaton.
+
+        A word is as many letters as its shard's words need; each place has letters of its own, so hits begin and end at words.
+        """
         import ahocorasick
 
-        if self.blocks:
-            self.automaton = ahocorasick.Automaton()
-            for block, places in self.blocks.items():
-                self.automaton.add_word(block, places)
-            self.automaton.make_automaton()
+        if not self.passages:
+            return
+        self.width = next(w for w in range(2, 12) if BASE**w >= len(self.number))
+        coded = ["".join([chr(2 + BASE * w + n // BASE**w % BASE) for w in range(self.width)]) for n in range(len(self.number))]
+        self.letters = dict(zip(self.number, coded))
+        blocks: dict[str, list[tuple[int, int]]] = {}
+        step = HALF * self.width
+        for k, (_, numbers) in enumerate(self.passages):
+            self.lines.append("".join([coded[n] for n in numbers]))
+            for at in range(0, len(self.lines[-1]) - step + 1, step):
+                blocks.setdefault(self.lines[-1][at : at + step], []).append((k, at // self.width))
+        self.automaton = ahocorasick.Automaton()
+        for block, places in blocks.items():
+            self.automaton.add_word(block, places)
+        self.automaton.make_automaton()
 
     def marked(self, words: list[bytes], own: int) -> list[tuple[int, int]]:
         """Word ranges that also are in a passage of a document with a smaller id than ``own``."""
         if self.automaton is None or len(words) < WINDOW:
             return []
-        get = self.letters.get
-        line = "".join([get(x, OTHER) for x in words])
+        width, get, other = self.width, self.letters.get, OTHER * self.width
+        line = "".join([get(x, other) for x in words])
         out, reached = [], {}
         for end, places in self.automaton.iter(line):
+            stop = (end + 1) // width
             for k, at in places:
-                source, passage, exact = self.passages[k]
-                if source >= own:
+                if self.passages[k][0] >= own:
                     continue
-                shift = end + 1 - HALF - at  # the place in the line that the passage's first word falls on
-                if reached.get((k, shift), -1) >= end:
+                shift = stop - HALF - at  # the place in the document that the passage's first word falls on
+                if reached.get((k, shift), 0) >= stop:
                     continue
-                low, high = at, at + HALF  # equal words, as places in the passage
-                first, last = max(0, -shift), min(len(passage), len(line) - shift)
-                while low > first and passage[low - 1] == line[low - 1 + shift]:
-                    low -= 1
-                while high < last and passage[high] == line[high + shift]:
-                    high += 1
-                reached[k, shift] = high + shift - 1
+                low, high = equal_around(self.lines[k], line, at, at + HALF, shift, width)
+                reached[k, shift] = high + shift
                 if high - low >= WINDOW:
-                    out += [(low + shift, high + shift)] if exact is None else equal_runs(exact, words, low, high, shift)
+                    out.append((low + shift, high + shift))
         return merged(out)
 
 
-HALF = WINDOW // 2
-MOST_LETTERS = 0x110000 - 0x800 - 3
-
-
-def letter(n: int) -> str:
-    """The code point of the n-th word, past the surrogates; words past ``MOST_LETTERS`` share the last one."""
-    n += 2
-    n += 0x800 * (n >= 0xD800)
-    return chr(min(n, 0x10FFFF))
-
-
-def equal_runs(passage: list[bytes], words: list[bytes], low: int, high: int, shift: int) -> list[tuple[int, int]]:
-    """Runs of at least ``WINDOW`` equal words between places ``low`` and ``high`` of a passage."""
-    out, start = [], low
-    for k in range(low, high + 1):
-        if k == high or passage[k] != words[k + shift]:
-            if k - start >= WINDOW:
-                out.append((start + shift, k + shift))
-            start = k + 1
-    return out
+def equal_around(passage: str, line: str, low: int, high: int, shift: int, width: int) -> tuple[int, int]:
+    """The widest range of words around ``low`` to ``high`` in which a passage equals a line that is ``shift`` words ahead."""
+    first, last, by = max(0, -shift) * width, min(len(passage), len(line) - shift * width), HALF * width
+    low, high, shift = low * width, high * width, shift * width
+    while high + by <= last and passage[high : high + by] == line[high + shift : high + shift + by]:
+        high += by
+    while high < last and passage[high : high + width] == line[high + shift : high + shift + width]:
+        high += width
+    while low > first and passage[low - width : low] == line[low - width + shift : low + shift]:
+        low -= width
+    return low // width, high // width
 
 
 def _cut():
@@ -267,7 +263,7 @@ def _cut():
         for text, ranges in zip(columns["text"], columns["ranges"]):
             w = split(text)
             pieces = [w[a:b] for a, b in merged([(r["start"], r["stop"]) for r in ranges])]
-            out.append([b" ".join(p).decode("utf-8", "surrogatepass") for p in pieces if len(p) >= WINDOW])
+            out.append([b" ".join(p) for p in pieces if len(p) >= WINDOW])
         return {"shard": columns["shard"], "source": columns["source"], "passages": out}
 
     return work
@@ -315,9 +311,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs, shards = sharded(df, id_col, text_col)
     needed = wanted_passages(docs)
     sources = common.keep_likely(docs.select(F.col("id").alias("source"), "text"), needed.select("source").distinct(), "source").join(needed, "source")
-    passages = common.map_rows(sources.select("shard", "source", "text", "ranges"), "shard int, source long, passages array<string>", _cut)
+    passages = common.map_rows(sources.select("shard", "source", "text", "ranges"), "shard int, source long, passages array<binary>", _cut)
     nothing = F.lit(None)
-    rows = passages.select("shard", "source", "passages", nothing.cast("long").alias("id"), nothing.cast("string").alias("text"))
-    rows = rows.unionByName(docs.select("shard", nothing.cast("long").alias("source"), nothing.cast("array<string>").alias("passages"), "id", "text"))
+    rows = passages.select("shard", "source", "passages", nothing.cast("long").alias("id"), nothing.cast("binary").alias("text"))
+    rows = rows.unionByName(docs.select("shard", nothing.cast("long").alias("source"), nothing.cast("array<binary>").alias("passages"), "id", "text"))
     rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("source").asc_nulls_last())
     return rows.mapInArrow(_streamed, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string").withColumnRenamed("id", id_col)

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from ledgerlens.llm import common, exact_dedup, near_dup, substring_dedup
 from ledgerlens.llm.components import connected_components
@@ -154,6 +155,52 @@ def test_anchor_is_the_least_phrase_of_each_window():
     assert substring_dedup.anchor_of_windows(same)[0].tolist() == list(range(38, 189))
 
 
+def test_word_hashes_are_those_of_the_words(monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(common, "PIECE", 64)
+    text = b" \t\n\x0b\x0c\r".join(bytes(rng.choices(b"ab\xc3\xa9\x1f\x85", k=rng.randint(1, 90))) for _ in range(300))
+    words = text.split()
+    got = common.word_hashes(b"  " + text + b" ")
+    alone = {w: int(common.word_hashes(w)[0]) for w in words}
+    assert got.tolist() == [alone[w] for w in words] and len(set(alone.values())) == len(alone)
+    assert len(common.word_hashes(b"")) == len(common.word_hashes(b" \n")) == 0
+
+
+def test_repeats_are_decided_by_the_automaton(docs, monkeypatch):
+    """Without the automaton's hits no word goes: what hashes choose is only where to look."""
+
+    class Blind(substring_dedup.Shard):
+        def ready(self):
+            pass
+
+    monkeypatch.setattr(substring_dedup, "Shard", Blind)
+    cloudpickle.register_pickle_by_value(substring_dedup)  # workers get the changed module
+    try:
+        assert sum(r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()) == 0
+    finally:
+        cloudpickle.unregister_pickle_by_value(substring_dedup)
+
+
+def test_shard_finds_only_equal_words_of_smaller_documents():
+    words = [b"w%d" % k for k in range(130)]
+    shard = substring_dedup.Shard()
+    shard.add(5, words[:90])
+    shard.add(8, words[60:130])
+    shard.ready()
+    assert shard.marked(words, 9) == [(0, 130)] and shard.marked(words, 8) == [(0, 90)] and shard.marked(words, 5) == []
+    assert shard.marked([b"new", *words[10:59], b"new"], 9) == []  # 49 words
+    assert shard.marked([b"new", *words[10:60], b"new"], 9) == [(1, 51)]
+    assert shard.marked(words[:40] + [b"other"] + words[41:130], 9) == [(60, 130)]
+    assert shard.marked(words[:39] + [b"other"] + words[40:130], 9) == [(40, 130)]
+
+
+def test_long_and_periodic_texts(spark):
+    line = [f"l{k}" for k in range(7)]
+    texts = [(1, " ".join(line * 40)), (2, " ".join(line * 3000)), (3, " ".join(["same"] * 20_000)), (4, " ".join(["same"] * 70)), (4, "same " * 49), (None, "same " * 60), (5, "")]
+    got = [tuple(r) for r in substring_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).drop("kept_text").collect()]
+    assert sorted(got, key=repr) == sorted(brute_repeats(texts), key=repr)
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(60)] + [(1000, k) for k in range(1001, 1100)] + [(5, 5), (7, 6), (7, 6)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
