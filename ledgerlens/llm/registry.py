@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +40,9 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key is fixed here so that results can be compared; a real one is a secret of its owner."""
-    return surrogates.replace_entities(_table(spark, sf_dir, "documents"), key=b"ledgerlens-example-key")
+    """The key is a secret of its owner: the setting ``ledgerlens.surrogates.key``, or a new one for each query."""
+    key = spark.conf.get("ledgerlens.surrogates.key", None) or secrets.token_hex(32)
+    return surrogates.replace_entities(_table(spark, sf_dir, "documents"), key=key.encode()[:64])
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
