@@ -89,14 +89,64 @@ def test_language_held_out(spark):
     assert model.predict(long * 200)[0] == model.predict(long)[0]
 
 
-def test_code_lengths_are_those_of_the_tree():
-    """Escapes by hand: order 1, symbols a=0, b=1, c=2, text "aab"."""
-    keys, counts = np.unique(language.grams(b"aab", np.array([0] * 97 + [0, 1, 2] + [3] * 156), 1, 4), return_counts=True)
-    table = language.code_lengths(keys, counts, 1, 4).reshape(4, 4)
-    # context a saw a twice (space folds to a here) and b once: total 3, distinct 2
-    assert table[0, 0] == pytest.approx(-np.log2(2 / 5)) and table[0, 1] == pytest.approx(-np.log2(1 / 5))
-    # c: escape from context a (2/5), then from the empty context (2/5), then uniform over 4
-    assert table[0, 2] == pytest.approx(-np.log2(2 / 5) - np.log2(2 / 5) + 2)
+class PlainTrees:
+    """Prediction by partial matching with dictionaries, a byte at a time."""
+
+    def __init__(self, texts, order):
+        self.order, self.seen = order, {}
+        for t in texts:
+            raw = self.folded(t)
+            for at in range(order, len(raw)):
+                for k in range(order + 1):
+                    after = self.seen.setdefault(raw[at - k : at], {})
+                    after[raw[at]] = after.get(raw[at], 0) + 1
+
+    def folded(self, text):
+        return b" " * self.order + bytes(int(language.FOLD[x]) for x in text.encode())
+
+    def bits(self, text):
+        raw, total = self.folded(text), 0.0
+        for at in range(self.order, len(raw)):
+            for k in range(self.order, -1, -1):
+                after = self.seen.get(raw[at - k : at], {})
+                n, distinct = sum(after.values()), len(after)
+                if raw[at] in after:
+                    total -= np.log2(after[raw[at]] / (n + distinct))
+                    break
+                if n:
+                    total -= np.log2(distinct / (n + distinct))
+            else:
+                total += 8
+        return total
+
+
+def test_code_lengths_are_those_of_plain_trees(monkeypatch):
+    monkeypatch.setattr(language, "PIECE", 37)
+    rng = random.Random(3)
+    alphabets = ["abcab d", "abdé 1", "xyz漢", "aB\tc", "q", "ab", "ba ", "cab", "dd e", "zzy x"]  # more languages than a group holds
+    known = {f"l{k}": ["".join(rng.choice(a) for _ in range(rng.randrange(1, 120))) for _ in range(12)] for k, a in enumerate(alphabets)}
+    model = language.fit({k: language.count(t) for k, t in known.items()})
+    assert model.languages == sorted(known) and len(model.trees) == 2
+    plain = [PlainTrees(known[k], language.ORDER) for k in model.languages]
+    for text in ["a", "abcab", "ABÉ 99", "漢漢 x", "\x00~", "".join(rng.choice("abcdxyzé漢 1Q") for _ in range(300))]:
+        expected = [t.bits(text) for t in plain]
+        assert model.bits(text.encode()) == pytest.approx(expected, rel=1e-5)
+        assert model.predict(text)[0] == (language.UNKNOWN if text == "\x00~" else model.languages[int(np.argmin(expected))])
+
+
+def test_numbers_are_found():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 5000))
+    table = language.Numbers(keys)
+    assert (table.find(keys) == np.arange(len(keys))).all()
+    assert (table.find(np.setdiff1d(np.arange(3000), keys)) == -1).all()
+    assert language.Numbers(np.empty(0, np.int64)).find(np.array([5])).tolist() == [-1]
+
+
+def test_language_with_clashing_columns_and_odd_rows(spark):
+    rows = [(1, "der hund und die katze " * 5, "de", "x"), (1, "the dog and the cat " * 5, "en", "y"), (None, "the", "en", None), (2, None, "xx", "z"), (3, "THE CAT", None, "1"), (4, "12 !", "en", ""), (5, "und der hund " * 9000, None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    got = {(r["doc_id"], r["lang"]): r["lang_pred"] for r in language.identify(docs, language.train(docs)).collect()}
+    assert got == {(1, "de"): "de", (1, "en"): "en", (None, "en"): "en", (2, "xx"): "und", (3, None): "en", (4, "en"): "und", (5, None): "de"}
 
 
 def test_language_without_labels(spark):
