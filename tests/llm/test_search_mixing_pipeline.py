@@ -28,6 +28,42 @@ def test_top_k_equals_brute_force(spark):
     assert topk_search.exact_top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_with_small_blocks_and_long_tailed_norms(spark, monkeypatch):
+    """Many blocks, pairs cut often, rows skipped by their norms, and queries that repeat: still exact."""
+    monkeypatch.setattr(topk_search, "QUERY_BYTES", 64 * 8 * 10)
+    rng = np.random.default_rng(5)
+    rows = [(k // 2 * 2, (rng.normal(size=64) * (0.01 if k % 9 else 3.0)).astype(np.float32).tolist()) for k in range(1200)]
+    got = [tuple(r) for r in topk_search.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4), F.col("vec_id") % 100 == 0, k=3).collect()]
+    ids, matrix = np.array([i for i, _ in rows]), np.floor(np.array([v for _, v in rows], np.float32).astype(float) * 1024)
+    expected = []
+    for at in np.flatnonzero(ids % 100 == 0):
+        score = matrix @ matrix[at]
+        best = [n for n in np.lexsort((ids, -score)) if ids[n] != ids[at]][:3]
+        expected += [(int(ids[at]), r, int(ids[n]), int(score[n])) for r, n in enumerate(best, 1)]
+    assert sorted(got) == sorted(expected)
+
+
+def test_lengths_bound_what_can_reach_a_threshold():
+    rng = np.random.default_rng(6)
+    queries, rows = rng.normal(size=(20, 12)).round(2) * 100, rng.normal(size=(500, 12)).round(2) * rng.choice([1, 100], size=(500, 1))
+    cut = np.sort(queries @ rows.T, 1)[:, -5].astype(np.int64)
+    short = ~(topk_search.norms(rows) >= topk_search.needed_lengths(queries, cut, np.zeros(20, bool))).any(1)
+    assert short.any() and ((queries @ rows[short].T) < cut[:, None]).all()
+    assert not topk_search.needed_lengths(queries, cut, np.ones(20, bool)).any()
+
+
+def test_best_keeps_the_first_of_ties(monkeypatch):
+    monkeypatch.setattr(topk_search, "PAIRS", 50)
+    rng = np.random.default_rng(7)
+    best, every = topk_search.Best(4, 3), []
+    for _ in range(30):
+        q, i, s = rng.integers(0, 4, 20), rng.permutation(1000)[:20], rng.integers(0, 6, 20)
+        best.add(q, i, s)
+        every += zip(q.tolist(), (-s).tolist(), i.tolist())
+    expected = [x for n in range(4) for x in sorted(e for e in every if e[0] == n)[:3]]
+    assert [(a, -c, b) for a, b, c in zip(*(x.tolist() for x in best.cut()))] == expected
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_windows_and_deviation(seed):
     rng = random.Random(seed)
