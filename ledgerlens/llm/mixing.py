@@ -6,12 +6,15 @@ among the released blocks fills one slot after the other. These windows are the
 is less than one block away from its target share. When a source is exhausted, a new phase begins in which the others
 keep their weights in proportion; the bound holds within each phase, and every row is scheduled once.
 
-Only counts reach the driver: one a source. The schedule has one entry a block; blocks grow so that there are at most
-``MOST_BLOCKS`` whole ones, whatever the input. Weights are exact fractions.
+Only counts reach the driver: one a source. The schedule has one entry a block and is made there; the parameter
+``most_blocks`` is its resolution: a block has ``block_rows`` rows, or so many more that about ``most_blocks`` hold all
+rows. The bound of less than one block holds for blocks of any size. Weights are exact fractions.
 
 Defined cases: a null source is a source of its own; a source without a given weight, or with one that is not positive,
-is scheduled after all others; null ids and repeated rows are rows like others; an empty table gives no rows; extra
-columns are kept, except that existing columns named block, slot, release, deadline and turn are replaced.
+is scheduled after all others; null ids and repeated rows are rows like others, told apart by the columns ``ties``, and
+rows that are equal in these too take each other's places; a source of one row and very many sources are sources like
+others; an empty table gives no rows; extra columns are kept, except that existing columns named block, slot, release,
+deadline and turn are replaced.
 """
 
 from __future__ import annotations
@@ -61,11 +64,11 @@ def target_weights(counts: Mapping[str, int], power: float = 0.5) -> dict[str, F
     return {s: Fraction(n**power).limit_denominator(1_000_000) for s, n in counts.items()}
 
 
-def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = 256, ties: Sequence[str] = ()) -> DataFrame:
+def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = 256, ties: Sequence[str] = (), most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """``df`` with block (within the source), slot, release, deadline (all slots from 0) and turn (place within the slot).
 
     Reading by (slot, turn) gives the mix. ``weights``: target by source; by default the square roots of the sizes.
-    Places depend on ids and source counts only; ``ties`` are columns that order rows of one id.
+    Places depend on ids, ties and source counts only; ``ties`` are columns that tell rows of one id apart.
     A source's place numbers come from counts of hashed buckets, so a source with a third of all rows is no hot spot.
     """
     spark = df.sparkSession
@@ -78,11 +81,11 @@ def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source
     else:
         named = {"n" if k is None else f"s{k}": Fraction(v).limit_denominator(1_000_000) for k, v in weights.items()}
         target = {s: max(Fraction(0), named.get(s, Fraction(0))) for s in counts}
-    size = max(block_rows, -(-sum(counts.values()) // MOST_BLOCKS))
+    size = max(block_rows, -(-sum(counts.values()) // most_blocks))
     schedule = spark.createDataFrame(pfair({s: -(-n // size) for s, n in counts.items()}, target), "__source string, block long, slot long, release long, deadline long")
 
     buckets = spark.createDataFrame([(s, -(-n // BUCKET_ROWS)) for s, n in counts.items()], "__source string, __buckets long")
-    rows = rows.join(F.broadcast(buckets), "__source").withColumn("__order", F.xxhash64(id_col, F.lit("mixing")))
+    rows = rows.join(F.broadcast(buckets), "__source").withColumn("__order", F.xxhash64(id_col, *ties, F.lit("mixing")))
     rows = rows.withColumn("__bucket", F.pmod(F.col("__order"), F.col("__buckets"))).drop("__buckets")
     sums = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = rows.groupBy("__source", "__bucket").agg(F.count("*").alias("__n")).select("__source", "__bucket", F.coalesce(F.sum("__n").over(sums), F.lit(0)).alias("__before"))

@@ -21,7 +21,7 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets: the square roots of the sources' sizes."""
-    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("content")), ties=("content",)).drop("content")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

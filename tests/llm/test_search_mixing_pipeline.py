@@ -137,3 +137,71 @@ def test_pipeline_result_is_in_mixed_order(spark, tmp_path):
         assert all(abs(done[x] - (t + 1) * weights[x] / total) < 1 for x in blocks)
         if done[s] == blocks[s]:
             break
+
+
+def test_pipeline_with_odd_rows_equals_brute_force(spark, tmp_path):
+    """Null and repeated ids, rows that are equal, ties, no text, and columns named like the operators' results."""
+    import hashlib
+
+    import tiktoken
+
+    from ledgerlens.llm import bpe
+
+    rng = random.Random(8)
+    base = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang = 'en' AND n_chars > 400").limit(12).collect()]
+    rows = [(k, t) for k, t in enumerate(base)]
+    rows += [(1, base[1]), (1, base[1]), (None, base[1]), (None, base[2]), (None, base[2]), (3, base[4].upper()), (90, base[5] + " tail"), (None, base[6] + " tail"), (91, base[7].lower()), (1, "so this is the other text of the one with that and the same")]
+    rows += [(None, "the cat and the dog were there with all of the others"), (None, "the cat and the dog were there with all of the others"), (92, None), (93, ""), (94, "12 !!")]
+    rng.shuffle(rows)
+    columns = "doc_id long, text string, lang string, source string, n_chars long, score string, slot string, kept string, component_id string, Turn int, text_sha256 string, decoded_sha256 string"
+    docs = spark.createDataFrame([(i, t, "en", None if (i or 0) % 5 == 0 else "s", len(t or ""), "a", "b", "c", "d", 4, "e", "f") for i, t in rows], columns).repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out, found = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, out, str(tmp_path)).cache()
+        found[name] = out.collect()
+        if name != "encoding":
+            assert out.columns == docs.columns and all(r["score"] == "a" and r["slot"] == "b" and r["Turn"] == 4 for r in found[name])
+    assert len(found["language"]) == len(rows) - 3
+    norm = lambda t: t.encode().lower().decode()
+    groups = {}
+    for i, t in rows:
+        if t and t != "12 !!":
+            groups.setdefault(norm(t), []).append((i is None, i))
+    exact = sorted((min(g), t) for t, g in groups.items())
+    assert sorted(((r["doc_id"] is None, r["doc_id"]), norm(r["text"])) for r in found["exact_dedup"]) == exact
+
+    def runs(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    left, components = list(exact), []
+    while left:
+        component = [left.pop(0)]
+        for c in component:
+            near = [x for x in left if 100 * len(runs(x[1]) & runs(c[1])) >= 75 * len(runs(x[1]) | runs(c[1]))]
+            component += near
+            left = [x for x in left if x not in near]
+        components.append(min(component))
+    near = [((r["doc_id"] is None, r["doc_id"]), norm(r["text"])) for r in found["near_dedup"]]
+    assert sorted(near) == sorted(components) and len(components) < len(exact)
+    assert sorted(map(repr, found["mixing"])) == sorted(map(repr, found["near_dedup"]))
+    ranks, pattern = bpe.public_ranks()
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    expected = [(r["doc_id"], len(x := known.encode_ordinary(r["text"])), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(r["text"].encode()).hexdigest()) for r in found["mixing"]]
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in found["encoding"]), key=repr) == sorted(expected, key=repr)
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mix_of_rows_without_ids_and_of_many_sources(spark):
+    rows = [(None, "a", k) for k in range(9000)] + [(7, "a", k) for k in range(3000)] + [(k, f"s{k}", 0) for k in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, content long")
+    got = mixing.mix(df, block_rows=64, ties=("content",)).collect()
+    assert len({(r["slot"], r["turn"]) for r in got}) == len(rows)
+    again = mixing.mix(df.repartition(5), block_rows=64, ties=("content",)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    assert max(r["block"] for r in mixing.mix(df, block_rows=1, most_blocks=50).collect()) <= 50
