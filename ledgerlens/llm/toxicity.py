@@ -9,10 +9,11 @@ into one weight a subsequence, which scores a word without the landmarks at hand
 Labels are of whole texts, so training is multiple-instance: a toxic text is a bag of sentences with at least one word
 that marks it. First witnesses are words with letter runs that are far more frequent in toxic texts; each round then
 takes the highest word of every toxic text as positive, and the highest of every clean one as negative. The score of a
-text is a logistic function of its highest word, high values alike.
+text is a logistic function of its highest word; past the point where witnessed texts begin it rises more slowly.
 
-Training reads at most about ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled rows, chosen by a hash of the id: the documented
-bound of the fit. Words are split at white space; runs of single letters are joined; digits and signs that stand for
+Training reads at most about ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled rows of about ``TOXIC_BYTES`` and ``CLEAN_BYTES``,
+whole texts chosen by a hash of id and text: the documented bound of the fit. Only their different words reach the
+driver. Words are split at white space; runs of single letters are joined; digits and signs that stand for
 letters are read as these; words over ``LONGEST`` letters are cut into overlapping pieces.
 
 Defined cases: null and empty texts get the score of a text without words; without labelled rows of both kinds every
@@ -34,14 +35,16 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import common
 
 TOXIC_ROWS, CLEAN_ROWS = 1800, 6500
+TOXIC_BYTES, CLEAN_BYTES = 12 << 20, 40 << 20
 DECAY, SPAN, LETTERS, LONGEST = 0.7, 6, 64, 32
 LANDMARKS, ROUNDS = 384, 4
 #: Toxic texts that must share a letter run before it can mark a witness.
 EVIDENCE = 8
 #: Directions of the landmarks' kernel matrix below this share of the largest are noise.
 CUTOFF = 1e-4
-#: Share of the witnessed toxic training texts whose decision values may be under the point from which values are alike.
-UNDER = 0.02
+#: Share of the witnessed toxic training texts whose decision values may be under the point from which scores rise more
+#: slowly, and how much more slowly.
+UNDER, SLOWLY = 0.02, 0.1
 #: How many times more frequent than chance a witness's letter run is in toxic texts.
 CONTRAST = 20
 #: Highest words of clean texts that a round adds to the negatives.
@@ -160,7 +163,12 @@ class Machine:
         return out
 
     def score(self, high: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(np.stack([np.ones_like(high), np.minimum(high, self.past)], 1) @ self.line, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(bent(high, self.past) @ self.line, -30, 30)))
+
+
+def bent(high: np.ndarray, past: float) -> np.ndarray:
+    """Decision values as the logistic function takes them: what is past ``past`` counts less, in the same order."""
+    return np.stack([np.ones_like(high), np.minimum(high, past) + SLOWLY * np.maximum(high - past, 0)], 1)
 
 
 class Constant:
@@ -253,15 +261,23 @@ def disguised(word: str) -> list[str]:
     return out + [word[:at] + word[at + 1 :]] * (n > 5 and at < n - 1)
 
 
+def pieces_of(text: str | None) -> list[str]:
+    """The different pieces of a text."""
+    return list(dict.fromkeys(p for w in dict.fromkeys(words_of(text)) for p in cleaned(w)))
+
+
 def fit(texts: Iterable[str | None], labels: list[int]) -> Machine | Constant:
     """Train on labelled texts."""
+    return fit_pieces((pieces_of(t) for t in texts), labels)
+
+
+def fit_pieces(pieces: Iterable[list[str]], labels: list[int]) -> Machine | Constant:
+    """Train on the different pieces of labelled texts."""
     toxic = np.array(labels, bool)
     if not toxic.any() or toxic.all():
         return Constant(float(toxic.mean()) if len(toxic) else 0.0)
     index: dict[str, int] = {}
-    bags: list[np.ndarray] = []  # the distinct words of each text, as numbers
-    for t in texts:
-        bags.append(np.array(sorted({index.setdefault(p, len(index)) for w in dict.fromkeys(words_of(t)) for p in cleaned(w)}), np.int32))
+    bags = [np.array(sorted({index.setdefault(p, len(index)) for p in own}), np.int32) for own in pieces]
     names = list(index)
     del index
     in_toxic, in_clean = (np.bincount(np.concatenate([np.empty(0, np.int32), *(b for b, y in zip(bags, toxic) if y == side)]), minlength=len(names)) for side in (True, False))
@@ -306,21 +322,32 @@ def fit(texts: Iterable[str | None], labels: list[int]) -> Machine | Constant:
     high = np.array([f[b].max() if len(b) else -2.0 for b in bags])
     marked = np.array([np.isin(b, np.array(list(witness))).any() for b in bags])
     past = max(0.5, float(np.quantile(high[toxic & marked], UNDER)))
-    line = fit_line(np.stack([np.ones(len(high)), np.minimum(high, past)], 1), toxic.astype(float))
+    line = fit_line(bent(np.minimum(high, past), past), toxic.astype(float))
     return Machine(letters, table, bias, line, past)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine | Constant:
     """Fit on a bounded sample of the labelled rows."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
-    known = common.materialise(known, "labels")
-    totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    million = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000.0
-    share = F.when(F.col("y") == 1, TOXIC_ROWS / max(1, totals.get(1, 1))).otherwise(CLEAN_ROWS / max(1, totals.get(0, 1)))
-    chosen = known.where(million < share)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = common.materialise(common.keep_likely(rows, chosen, "id").join(chosen, "id"), "labelled").orderBy("id", "text")
-    return fit((r["text"] for r in found.select("text").toLocalIterator()), [r["y"] for r in found.select("y").collect()])
+    own = F.pmod(F.xxhash64("id", "text", F.lit("toxicity")), F.lit(1 << 50))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    sized = common.materialise(rows.select("id", own.alias("own"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(known, "id"), "labels")
+    totals = {r["y"]: (r["n"], r["size"] or 0) for r in sized.groupBy("y").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}
+
+    def share(y: int, most: int, most_bytes: int) -> float:
+        n, size = totals.get(y, (0, 0))
+        return min(1.0, most / max(1, n), most_bytes / max(1, size))
+
+    part = F.when(F.col("y") == 1, share(1, TOXIC_ROWS, TOXIC_BYTES)).otherwise(share(0, CLEAN_ROWS, CLEAN_BYTES))
+    chosen = common.materialise(sized.where(F.col("own") / float(1 << 50) < part).select("id", "own", "y").distinct(), "chosen")
+
+    def cut():
+        return lambda c: c | {"pieces": [" ".join(pieces_of(t)) for t in c["text"]]}
+
+    likely = common.keep_likely(rows.withColumn("own", own), chosen, "id").join(chosen, ["id", "own"])
+    cut_up = common.map_rows(likely.select("id", "own", "y", "text"), "id long, own long, y int, pieces string", cut).dropDuplicates(["id", "own", "pieces"])
+    found = common.materialise(cut_up, "labelled").orderBy("id", "own", "pieces").select("y", "pieces").toArrow()
+    return fit_pieces((p.as_py().split() for p in found.column("pieces")), found.column("y").to_pylist())
 
 
 def score(df: DataFrame, machine: Machine | Constant, text_col: str = "text", threshold: float = 0.7) -> DataFrame:

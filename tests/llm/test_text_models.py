@@ -175,6 +175,48 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(odd, machine).collect())
 
 
+def test_kernel_is_a_sum_over_subsequences():
+    """Brute force: common subsequences of three letters, weighted by the letters they span, normalised."""
+    from itertools import combinations
+
+    def plain(word):
+        letters, out = "^" + word + "$", {}
+        for a, b, c in combinations(range(len(letters)), 3):
+            if c - a < toxicity.SPAN:
+                key = letters[a] + letters[b] + letters[c]
+                out[key] = out.get(key, 0.0) + toxicity.DECAY ** (c - a + 1)
+        return out
+
+    words = ["idiot", "idiiot", "i", "iddiot", "banana", "xyz", "aaaa", "stupidity", "clown"]
+    words = [w for w in words if len(w) > 2]
+    made = toxicity.kernel(toxicity.Letters(words), words, words)
+    for i, a in enumerate(map(plain, words)):
+        for j, b in enumerate(map(plain, words)):
+            norm = np.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+            assert made[i, j] == pytest.approx(sum(v * b.get(k, 0.0) for k, v in a.items()) / norm, abs=1e-5)
+
+
+def test_toxicity_scores_keep_the_order_of_decisions():
+    machine = toxicity.Machine(None, None, 0.0, np.array([-1.0, 3.0]), 0.5)
+    high = np.linspace(-2, 4, 200)
+    assert (np.diff(machine.score(high)) > 0).all()
+
+
+def test_toxicity_training_rows(spark):
+    """Repeated and null ids, null labels, very long and empty texts, an empty table; equal rows count once."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abdeghiklmnoprstu") for _ in range(rng.randint(4, 9))) for _ in range(400)]
+    rows = [(k, " ".join(rng.choices(words, k=40) + ["idiot"] * (k % 4 == 0))) for k in range(400)]
+    rows += [(0, "idiot " * 100_000), (4, None), (4, ""), (None, "idiot"), *rows[:200]]
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)] + [(0, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert len(got) == len(rows)
+    assert all(r["predicted"] == int("idiot" in (r["text"] or "")) for r in got)
+    nothing = docs.limit(0)
+    assert toxicity.score(nothing, toxicity.train(nothing, labels.limit(0))).count() == 0
+
+
 def test_toxicity_without_labels(spark):
     assert toxicity.fit([], []).score(np.array([1.0])).tolist() == [0.0]
     assert toxicity.fit(["a b"], [1]).score(np.array([1.0])).tolist() == [1.0]
