@@ -21,6 +21,42 @@ def byte_page(rows: DataFrame, columns: Sequence[str], budget: int, order: Seque
     return packed_prefix(rows, size, budget, order, by)
 
 
+def paged(rows: DataFrame, columns: Sequence[str], budget: int, order: Sequence[Column], by: Sequence[str] = (), most_item: int | None = None) -> DataFrame:
+    """All rows with their ``place``: ``in`` the page, ``later``, or ``oversize`` if an item alone is over its bound."""
+    size = F.octet_length(F.to_json(F.struct(*columns))) + 1
+    running = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    place = F.when(size > (budget if most_item is None else most_item), "oversize").when(F.sum(size).over(running) <= budget, "in").otherwise("later")
+    return rows.withColumn("place", place)
+
+
+def checked_page(rows: DataFrame, columns: Sequence[str], budget: int, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
+    """``byte_page``, with an error for an item that no page can hold."""
+    if rows.where(F.octet_length(F.to_json(F.struct(*columns))) + 1 > budget).head(1):
+        raise ValueError(f"an item is larger than a page of {budget} bytes")
+    return byte_page(rows, columns, budget, order, by)
+
+
+def token_batches(rows: DataFrame, cost: str, budget: int, most: int, order: Sequence[Column], by: Sequence[str]) -> DataFrame:
+    """Rows with ``batch``: runs in order, per group, of at most ``most`` rows that cost at most ``budget`` together; a row
+    that is over the budget alone is a batch of its own. Groups are streamed, never held."""
+    schema = rows.schema.add("batch", "long") if "batch" not in rows.columns else rows.schema
+
+    def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, batch, n, used = None, 0, 0, 0
+        for part in parts:
+            out = []
+            for key, c in zip(part[list(by)].itertuples(index=False, name=None), part[cost]):
+                if key != group:
+                    group, batch, n, used = key, 0, 0, 0
+                elif n == most or used + c > budget:
+                    batch, n, used = batch + 1, 0, 0
+                n, used = n + 1, used + c
+                out.append(batch)
+            yield part.assign(batch=out)[[f.name for f in schema]]
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(deal, schema)
+
+
 def greedy_pack(rows: DataFrame, cost: str, budget: int, order: str, by: str) -> DataFrame:
     """For each group: rows in order, those that do not fit the rest are skipped and later ones tried. Groups are bounded
     by the caller's candidate caps."""

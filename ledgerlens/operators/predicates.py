@@ -29,6 +29,35 @@ def check(kind: str, op: str, value: Any) -> None:
         raise IllegalPredicate("a boolean is no number")
 
 
+def legal(conditions: Mapping[str, Mapping[str, Any]], declared: Mapping[int, Mapping[str, Mapping[str, Any]]], order: Sequence[str] = (), project: Sequence[str] = ()) -> dict[str, str]:
+    """The kinds of the fields that a query uses, or an error.
+
+    ``declared`` gives the fields of every version in scope: a field must be declared in each, with the same type and
+    permissions. Filters, orders and projections each need their permission; a field of an optional annotation takes
+    ``exists`` only.
+    """
+    kinds = {}
+    for name in {*conditions, *order, *project}:
+        found = [fields.get(name) for fields in declared.values()]
+        if not found or any(f is None for f in found):
+            raise IllegalPredicate(f"{name} is not declared in every version")
+        if len({(f["type"], f.get("filter", False), f.get("sort", False), f.get("project", True), f.get("optional", False)) for f in found}) > 1:
+            raise IllegalPredicate(f"{name} differs between versions")
+        f = found[0]
+        if name in conditions and not f.get("filter"):
+            raise IllegalPredicate(f"{name} is not filterable")
+        if name in order and (not f.get("sort") or f["type"].endswith("[]")):
+            raise IllegalPredicate(f"{name} is not sortable")
+        if name in project and not f.get("project", True):
+            raise IllegalPredicate(f"{name} is not projected")
+        for op, value in conditions.get(name, {}).items():
+            if f.get("optional") and op != "exists":
+                raise IllegalPredicate(f"{name} comes from an optional annotation: only exists")
+            check(f["type"], op, value)
+        kinds[name] = f["type"]
+    return kinds
+
+
 def compare(column: Column, op: str, value: Any) -> Column:
     """One operator on a column; null is false."""
     if op == "exists":

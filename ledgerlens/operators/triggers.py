@@ -105,6 +105,37 @@ def freshness(log: DataFrame, marks: DataFrame) -> DataFrame:
     return out.select("entity", F.coalesce("watermark", F.lit(0)).alias("watermark"), F.coalesce("some", F.lit(False)).alias("dirty"), F.coalesce(~F.col("first_ready"), F.lit(False)).alias("pending_unready"))
 
 
+def without_own_outputs(rows: DataFrame, runs: DataFrame, processor: str) -> DataFrame:
+    """Rows that no run of this processor made; rows without a run, or whose run is gone, stay."""
+    own = runs.where(F.col("processor") == processor).select("run_id")
+    return rows.join(own, "run_id", "left_anti")
+
+
+def debounced(arrivals: DataFrame, after_s: int, waiting: DataFrame, time: str = "occurred_at") -> DataFrame:
+    """(entity, due, n): each arrival puts its entity's job off to ``after_s`` later, never to an earlier time than before."""
+    last = arrivals.groupBy("entity").agg((F.max(time) + F.make_interval(secs=F.lit(after_s))).alias("__due"), F.count("*").alias("n"))
+    return last.join(waiting, "entity", "left").select("entity", F.greatest("__due", "due").alias("due"), "n")
+
+
+def cron_jobs(entities: DataFrame, name: str, schedule: str, after: str, until: str, most: int = 100) -> DataFrame:
+    """(entity, job): a job for each entity and due bucket in (after, until], named so that a second sweep adds none."""
+    import datetime as dt
+
+    from ledgerlens.functions.schedule import Cron
+
+    stamps = [f"{name}:{b:%Y-%m-%d %H:%M}" for b in Cron(schedule).buckets(dt.datetime.fromisoformat(after), dt.datetime.fromisoformat(until), most)]
+    return entities.select("entity", F.explode(F.array(*map(F.lit, stamps)) if stamps else F.array().cast("array<string>")).alias("job"))
+
+
+def stale_on_read(log: DataFrame, marks: DataFrame, now: str, max_staleness_s: int) -> DataFrame:
+    """(entity, reason): entities that a read should refresh: never run, dirty, or last run too long ago."""
+    dirty = pending(log, marks).select("entity").distinct().withColumn("dirty", F.lit(True))
+    all_ = log.select("entity").distinct().join(marks.select("entity", "last_success"), "entity", "left").join(dirty, "entity", "left")
+    limit = F.lit(now).cast(marks.schema["last_success"].dataType) - F.make_interval(secs=F.lit(max_staleness_s))
+    reason = F.when(F.col("last_success").isNull(), "never_run").when(F.col("dirty"), "dirty").when(F.col("last_success") <= limit, "aged")
+    return all_.select("entity", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def backoff(attempts: Column) -> Column:
     """Seconds before the next attempt."""
     return F.least(F.lit(300.0), 5 * F.pow(F.lit(4.0), attempts - 1))

@@ -731,9 +731,19 @@ views: [{name: top_values, parameters: {floor: {type: number, default: 1}}, quer
 """
 
 
+def _load() -> None:
+    """The queries of the other modules add themselves."""
+    import importlib
+
+    for name in ("derivation", "serving", "storage"):
+        importlib.import_module(f"ledgerlens.queries.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)

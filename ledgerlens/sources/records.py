@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,11 @@ class Scope:
     tombstones: bool = False
     above: int | None = None
     current: bool = False
+    workspace: str | None = None
+    #: Versions of a collection that may be seen; other collections are not restricted.
+    versions: Mapping[str, Sequence[int]] = field(default_factory=dict)
+    depth: int | None = None
+    system: bool = True
 
 
 def scan(log: DataFrame, scope: Scope) -> DataFrame:
@@ -79,9 +85,17 @@ def scan(log: DataFrame, scope: Scope) -> DataFrame:
     even if they are not ready or of another type."""
     from ledgerlens.operators.heads import SLOT, is_current
 
+    if scope.workspace is not None:
+        log = log.where(F.col("workspace") == scope.workspace)
     if scope.current:
         log = log.withColumn("__now", F.col("key").isNull() | is_current(SLOT)).where("__now").drop("__now")
     conditions: list[Column] = []
+    for name, versions in scope.versions.items():
+        conditions.append((F.col("collection") != name) | F.col("version").isin(list(versions)))
+    if scope.depth is not None:
+        conditions.append(F.col("depth") <= scope.depth)
+    if not scope.system:
+        conditions.append(~F.col("collection").startswith("_"))
     if scope.entity is not None:
         conditions.append(F.col("entity") == scope.entity)
     for column, values in (("collection", scope.collections), ("type", scope.types), ("status", scope.statuses)):
@@ -105,22 +119,62 @@ def scan(log: DataFrame, scope: Scope) -> DataFrame:
 
 
 IMMUTABLE = ("collection", "entity", "key", "type", "status", "content", "derived_from", "occurred_at")
+#: Rows of a batch, and steps of derivation.
+MOST_BATCH, MOST_DEPTH = 100, 4
 
 
-def ingest(log: DataFrame, batch: DataFrame) -> DataFrame:
-    """What becomes of each row of a batch: ``inserted``, ``duplicate`` (same dedupe key and content) or ``conflict``."""
+class IllegalBatch(ValueError):
+    """A batch that is too large, or has a row that cannot be written."""
+
+
+def ingest(log: DataFrame, batch: DataFrame, schemas: Mapping[str, Mapping[str, Any]] | None = None, order: str = "id") -> DataFrame:
+    """What becomes of each row of a batch: ``inserted``, ``duplicate`` (same dedupe key and content), ``conflict`` or
+    ``invalid``, with ``faults`` where ``schemas`` (by collection) find any.
+
+    The first row of a key in ``order`` decides for those after it in the batch, as a row of the log would.
+    """
+    from ledgerlens.functions.json_schema import violations
+
     digest = F.sha2(F.to_json(F.struct(*[c for c in IMMUTABLE if c in batch.columns])), 256)
-    old = log.where("dedupe_key IS NOT NULL").select("dedupe_key", digest.alias("old_digest")).dropDuplicates(["dedupe_key"])
-    verdict = F.when(F.col("old_digest").isNull(), "inserted").when(F.col("old_digest") == F.col("digest"), "duplicate").otherwise("conflict")
-    return batch.withColumn("digest", digest).join(old, "dedupe_key", "left").withColumn("verdict", verdict).drop("old_digest")
+    faults = F.array().cast("array<string>")
+    for name, schema in (schemas or {}).items():
+        faults = F.when(F.col("collection") == name, violations(F.col("content"), schema)).otherwise(faults)
+    rows = batch.withColumn("faults", faults).withColumn("digest", digest)
+    old = log.where("dedupe_key IS NOT NULL").select("dedupe_key", digest.alias("old_digest")).groupBy("dedupe_key").agg(F.first("old_digest").alias("old_digest"))
+    # Rows without a key or with faults decide nothing; the key of the others is shared by few rows.
+    counted = F.col("dedupe_key").isNotNull() & (F.size("faults") == 0)
+    first = rows.where(counted).groupBy("dedupe_key").agg(F.min(F.struct(F.col(order).alias("at"), "digest")).alias("first"))
+    rows = rows.join(old, "dedupe_key", "left").join(first, "dedupe_key", "left")
+    known = F.coalesce("old_digest", F.when(F.col(order) != F.col("first.at"), F.col("first.digest")))
+    verdict = F.when(F.size("faults") > 0, "invalid").when(known.isNull(), "inserted").when(known == F.col("digest"), "duplicate").otherwise("conflict")
+    return rows.withColumn("verdict", verdict).drop("old_digest", "first")
+
+
+def batch_depths(log: DataFrame, batch: DataFrame) -> DataFrame:
+    """(id, depth, fault) of rows with parents: one more than the deepest parent, or as deep where the parent is the
+    current row of the same slot. ``fault``: ``parent_missing``, ``parent_order`` or ``depth_limit``."""
+    from ledgerlens.operators.heads import SLOT, heads
+
+    now = heads(log.where("key IS NOT NULL"), SLOT).select(*SLOT, F.col("id").alias("__head"))
+    links = batch.select("id", "seq", *SLOT, F.explode("derived_from").alias("parent")).join(now, list(SLOT), "left")
+    found = links.join(log.select(F.col("id").alias("parent"), F.col("depth").alias("__depth"), F.col("seq").alias("__seq")), "parent", "left")
+    sums = found.groupBy("id").agg(
+        F.max(F.col("__depth") + F.when(F.col("parent") == F.col("__head"), 0).otherwise(1)).alias("depth"), F.bool_or(F.col("__seq").isNull()).alias("missing"), F.bool_or(F.col("__seq") >= F.col("seq")).alias("later")
+    )
+    out = batch.select("id").join(sums, "id", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    fault = F.when(F.col("missing"), "parent_missing").when(F.col("later"), "parent_order").when(F.col("depth") > MOST_DEPTH, "depth_limit")
+    return out.select("id", F.col("depth").cast("int").alias("depth"), fault.alias("fault"))
 
 
-def append(log: DataFrame, judged: DataFrame) -> DataFrame:
-    """The log with the inserted rows of a judged batch, numbered on from the log's end; nothing if any row conflicts."""
-    from pyspark.sql import Window
+def append(log: DataFrame, judged: DataFrame, order: str = "ordinal", most: int | None = MOST_BATCH) -> DataFrame:
+    """The log with the inserted rows of a judged batch, numbered on from the log's end; nothing if a row conflicts or is
+    invalid. ``most`` bounds the batch; None takes any number."""
+    from ledgerlens.operators.numbering import numbered_on
 
-    conflicts = judged.agg(F.max((F.col("verdict") == "conflict").cast("int")).alias("bad"))
+    if most is not None and len(judged.select("verdict").head(most + 1)) > most:
+        raise IllegalBatch(f"a batch has at most {most} rows")
+    bad = judged.agg(F.max(F.col("verdict").isin("conflict", "invalid").cast("int")).alias("bad"))
     end = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("end"))
-    fresh = judged.where("verdict = 'inserted'").crossJoin(F.broadcast(conflicts)).where("coalesce(bad, 0) = 0").crossJoin(F.broadcast(end))
-    fresh = fresh.withColumn("seq", F.col("end") + F.row_number().over(Window.orderBy("ordinal")))  # a batch is bounded by the caller
-    return log.unionByName(fresh.select(*[c for c in log.columns]), allowMissingColumns=True)
+    fresh = judged.where("verdict = 'inserted'").crossJoin(F.broadcast(bad)).where("coalesce(bad, 0) = 0").crossJoin(F.broadcast(end))  # one row each
+    fresh = numbered_on(fresh.drop("seq"), [F.col(order)], F.col("end"))
+    return log.unionByName(fresh.select(*[c for c in log.columns if c in fresh.columns]), allowMissingColumns=True)
