@@ -97,23 +97,6 @@ def keep_likely(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.select(*names, position.alias("__position")).mapInArrow(run, df.schema)
 
 
-class HashOfWord(dict):
-    """A bounded cache of the 64-bit hashes of words."""
-
-    MOST = 1_000_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.MOST:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def all(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
     """64-bit hashes of each run of ``size`` neighbours, by doubling: about 2 log2(size) passes over the array."""
     with np.errstate(over="ignore"):

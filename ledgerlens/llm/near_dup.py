@@ -7,10 +7,12 @@ is below the next rank no later rank can matter: most documents stop after one o
 
 1. Documents with equal sets are one node, named by their smallest id, before anything else is compared.
 2. Bands of ``ROWS`` registers put nodes in buckets (a pair at similarity 0.75 misses all bands with probability 5e-6).
-3. In each bucket every member is verified against the smallest member on full sets: members - 1 pairs, not all pairs.
+3. In each bucket every member is verified against one pivot on full sets: members - 1 pairs, not all pairs. The pivot
+   is the member that meets most others over all buckets, so the middle of a group, which is similar to all of it.
 4. Verified links are grouped. Members of a bucket that ended in one group need no more comparisons.
 5. Where a bucket still spans groups, members outside its largest group are compared with the members of other groups,
-   in blocks of ``BLOCK`` sets whose intersections are one matrix product; only links leave a block, never pairs.
+   in blocks of ``BLOCK`` sets whose intersections are one matrix product; of the links found in a block only those
+   leave it that join groups which were apart.
 6. The links of 3 and 5 give the components.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; texts under five words are one
@@ -37,9 +39,9 @@ NUMERATOR, DENOMINATOR = 75, 100
 CHUNK = 4096
 
 
-def shingles(text: str | None, words: common.HashOfWord, size: int = WORDS) -> np.ndarray:
+def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``size`` words; fewer words are one run."""
-    hashes = words.all((text or "").encode("utf-8", "surrogatepass").lower().split())
+    hashes = common.word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
     if not len(hashes):
         return hashes
     return np.unique(common.rolled(hashes, min(size, len(hashes))))
@@ -85,10 +87,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def sign():
-        words = common.HashOfWord()
 
         def work(columns: dict[str, list]) -> dict[str, list]:
-            sets = [shingles(t, words) for t in columns["text"]]
+            sets = [shingles(t) for t in columns["text"]]
             return {
                 "id": columns["id"],
                 "n": [len(s) for s in sets],
@@ -105,8 +106,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = common.materialise(named.join(nodes, "digest").select("id", "node", "bands", (F.col("id") == F.col("node")).alias("is_node")), "members")
 
     banded = members.where("is_node").select("node", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("key", "pivot")
-    buckets = common.materialise(banded.join(shared, "key").distinct(), "buckets")
+    shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("last"), F.count("*").alias("size")).where("low < last").select("key", "size")
+    met = common.materialise(banded.join(shared, "key").distinct(), "met")
+    # The pivot is the member that meets most others over all its buckets: the middle of a group links with all of it.
+    weights = met.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = common.materialise(met.select("key", "node").join(weights, "node"), "weighed")
+    pivots = common.materialise(weighed.groupBy("key").agg(F.min(F.struct(-F.col("weight"), "node")).alias("first")).select("key", F.col("first.node").alias("pivot")), "pivots")
+    buckets = common.materialise(weighed.select("key", "node").join(pivots, "key"), "buckets")
+    common.discard(met, weighed, pivots)
 
     sets = _sets(docs, buckets.select(F.col("node").alias("id")).distinct())
     pairs = buckets.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
@@ -127,8 +134,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, elements) of the documents in ``ids``: 8 bytes a shingle, for documents that share a bucket only."""
 
     def each():
-        words = common.HashOfWord()
-        return lambda columns: {"id": columns["id"], "elements": [shingles(t, words).tobytes() for t in columns["text"]]}
+        return lambda columns: {"id": columns["id"], "elements": [shingles(t).tobytes() for t in columns["text"]]}
 
     likely = common.keep_likely(docs, ids, "id").join(ids, "id", "left_semi")
     return common.materialise(common.map_rows(likely, "id long, elements binary", each).where("length(elements) > 0").distinct(), "sets")
@@ -184,7 +190,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(a), BLOCK):
             for to in range(0, len(b), BLOCK):
                 out += between(a[at : at + BLOCK], b[to : to + BLOCK])
-        return out
+        return spanning(out, {x[0]: x[1] for x in a + b})
 
     def between(a: list[tuple], b: list[tuple]) -> list[tuple[int, int]]:
         if len(a) * len(b) <= 8:
@@ -205,6 +211,23 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apart = np.array([x[1] for x in a])[:, None] != np.array([x[1] for x in b])[None, :]
         return [(a[i][0], b[j][0]) for i, j in zip(*np.nonzero((DENOMINATOR * both >= NUMERATOR * union) & apart))]
 
+    def spanning(links: list[tuple[int, int]], component: dict[int, int]) -> list[tuple[int, int]]:
+        """Of links only those that join what was apart: their number is that of the block's groups, not of its pairs."""
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out = []
+        for a, b in links:
+            p, q = root(component[a]), root(component[b])
+            if p != q:
+                parent[p] = q
+                out.append((a, b))
+        return out
+
     def packed(links: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([max(x) for x in links], pa.int64()), pa.array([min(x) for x in links], pa.int64())], names=["a", "b"])
 
