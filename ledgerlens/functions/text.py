@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.session import held, spread
+
 #: Words that carry no meaning for search.
 STOP_WORDS = frozenset("a an and are as at be but by for from had has have he her his i if in into is it its no not of on or our she so such that the their then there these they this to was we were what when which will with you your".split())
 SUFFIXES = ("ational", "iveness", "fulness", "ization", "ations", "ingly", "ation", "ness", "ment", "ings", "edly", "ies", "ing", "ed", "es", "ly", "s")
@@ -39,18 +42,20 @@ def match_counts(rows: DataFrame, term: str, text: str = "text", identity: str =
 
 
 def bm25(rows: DataFrame, query: str, text: str = "text", identity: str = "id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score): BM25 of the query's terms. Only the query's terms leave a row, and document counts are pre-aggregated."""
+    """(id, score): BM25 of the query's terms. Texts are read once, into a narrow table of lengths and term counts."""
     wanted = sorted({w for w in re.findall(r"[^\W_]+", query.lower())})
-    words = rows.select(identity, terms(F.col(text)).alias("w"))
-    counts = words.select(identity, F.size("w").alias("n"), F.array(*[_hits("w", t) for t in wanted]).alias("tf"))
-    stats = counts.agg(F.count("*").alias("rows_n"), F.avg("n").alias("mean"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(wanted))])
+    low = F.lower(F.col(text))
+    words = spread(rows.select(identity, text)).select(identity, low.alias("low"), terms(F.col(text)).alias("w"))
+    tf = [F.when(F.contains("low", F.lit(t)), _hits("w", t)).otherwise(0).alias(f"tf{i}") for i, t in enumerate(wanted)]
+    counts = held(words.select(identity, F.size("w").alias("n"), *tf))
+    stats = counts.agg(F.count("*").alias("rows_n"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     score = F.lit(0.0)
     for i in range(len(wanted)):
-        tf, df = F.col("tf")[i], F.col(f"df{i}")
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.log(1 + (F.col("rows_n") - df + 0.5) / (df + 0.5))
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    hit = F.greatest(*[F.col("tf")[i] for i in range(len(wanted))], F.lit(0))
-    return counts.where(hit > 0).crossJoin(F.broadcast(stats)).select(identity, score.alias("score"))
+    hit = F.greatest(*[F.col(f"tf{i}") for i in range(len(wanted))], F.lit(0), F.lit(0))
+    return counts.where(hit > 0).crossJoin(F.broadcast(stats)).select(identity, score.alias("score"))  # one row of statistics
 
 
 class Query:
@@ -104,4 +109,9 @@ def cover_density(rows: DataFrame, query: str, text: str = "text", identity: str
             score = part["t"].map(lambda t: parsed.density(t or ""))
             yield pd.DataFrame({identity: part[identity], "score": score})[score > 0]
 
-    return rows.select(identity, F.col(text).alias("t")).mapInPandas(run, f"{identity} {kind}, score double")
+    # a text can match only if it has the first letters of some wanted word: tested in the JVM, before Python sees a row
+    stems = sorted({p[0][:3] for g in parsed.any_of for p in g})
+    likely = rows.where(F.col(text).isNotNull())
+    if stems:
+        likely = likely.where(reduce(Column.__or__, [F.contains(F.lower(F.col(text)), F.lit(s)) for s in stems]))
+    return likely.select(identity, F.col(text).alias("t")).mapInPandas(run, f"{identity} {kind}, score double")

@@ -22,12 +22,31 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((size > 0) & (F.size(a) == F.size(b)), dot(a, b) / size)
 
 
+#: Components up to which a product is written out, so that it is compiled; longer vectors go through Arrow batches.
+WRITTEN_OUT = 128
+
+
 def query_cosine(vector: Column, query: Sequence[float]) -> Column:
-    """Cosine with a literal query; its norm is taken once."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    norm = float(np.linalg.norm(query))
-    size = F.sqrt(dot(vector, vector)) * F.lit(norm)
-    return F.when((size > 0) & (F.size(vector) == len(query)), dot(vector, q) / size)
+    """Cosine with a literal query; its norm is taken once. Null where a vector has no length or another size."""
+    q = [float(x) for x in query]
+    norm = float(np.linalg.norm(q))
+    if len(q) <= WRITTEN_OUT:
+        part = [F.get(vector, F.lit(i)).cast("double") for i in range(len(q))]
+        product = sum([p * F.lit(x) for p, x in zip(part[1:], q[1:])], part[0] * F.lit(q[0]))
+        size = F.sqrt(sum([p * p for p in part[1:]], part[0] * part[0])) * F.lit(norm)
+        return F.when((F.size(vector) == len(q)) & (size > 0), product / size)
+
+    @F.pandas_udf("double")
+    def similarity(vectors: pd.Series) -> pd.Series:
+        good = vectors.map(lambda v: v is not None and len(v) == len(q)).to_numpy(bool)
+        out = np.full(len(vectors), np.nan)
+        if good.any():
+            m = np.stack(vectors[good].to_list()).astype(float)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[good] = m @ np.array(q) / (np.linalg.norm(m, axis=1) * norm)
+        return pd.Series(out).where(np.isfinite(out), None)
+
+    return similarity(vector)
 
 
 def deterministic_embedding(text: Column, size: int = 16, prefix: str = "ledgerlens-embedding") -> Column:

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
+from typing import Any, Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.json_schema import violations
+from ledgerlens.functions.render import truncate_middle
+
+MODEL_BATCH, MOST_CHARS = 16, 8192
+
 
 def marked_score(text: Column, name: str, low: float, high: float, default: float) -> Column:
     """A score read from a ``[name=number]`` mark, clamped to its scale; without a mark the default."""
@@ -35,10 +44,11 @@ def required_queue(rows: DataFrame, most: int = 32, most_of_run: int = 50) -> Da
     return todo.orderBy("seq").limit(most).withColumn("met_run", running).where("met_run = 0").drop("met_run")
 
 
-def optional_queue(rows: DataFrame, bindings: DataFrame, done: DataFrame) -> DataFrame:
-    """(id, processor): the first missing binding of each row, by its ordinal."""
-    want = rows.where("ready").select("id", "seq", "collection").join(F.broadcast(bindings), "collection")
-    missing = want.join(done, ["id", "processor"], "left_anti")
+def optional_queue(rows: DataFrame, bindings: DataFrame, done: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """(id, processor): the first missing binding of each row, by its ordinal. ``failed``: work marked as terminal, which
+    is not tried again."""
+    want = rows.where("ready").select("id", "seq", "collection").join(bindings, "collection")
+    missing = want.join(done if failed is None else done.unionByName(failed), ["id", "processor"], "left_anti")
     return missing.groupBy("id").agg(F.min_by("processor", "ordinal").alias("processor"), F.min("seq").alias("seq"))
 
 
@@ -47,3 +57,75 @@ def write_once(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("id", "nam
     before = old.select(*keys, F.col("value").alias("__old"), F.lit(True).alias("__there"))
     verdict = F.when(F.col("__there").isNull(), "written").when(F.col("__old").eqNullSafe(F.col("value")), "same").otherwise("conflict")
     return new.join(before, list(keys), "left").withColumn("verdict", verdict).drop("__old", "__there")
+
+
+def json_annotation(rows: DataFrame, column: str, schema: Mapping[str, Any], score_fields: Mapping[str, str] | None = None) -> DataFrame:
+    """Rows with ``faults`` of a JSON answer under a schema, ``annotation`` where there are none, and ``scores``: numbers at
+    the paths of ``score_fields``."""
+    faults = violations(F.col(column), schema)
+    rows = rows.withColumn("faults", faults)
+    good = F.size("faults") == 0
+    scores = [F.lit(x) if k else F.when(good, F.get_json_object(column, x).try_cast("double")) for pair in (score_fields or {}).items() for k, x in zip((1, 0), pair)]
+    return rows.withColumn("annotation", F.when(good, F.col(column))).withColumn("scores", F.create_map(*scores) if scores else F.create_map().cast("map<string,double>"))
+
+
+class Embedder(Protocol):
+    """Vectors for a batch of texts; raises if the model cannot be reached."""
+
+    size: int
+
+    def __call__(self, texts: Sequence[str]) -> list[list[float]]: ...
+
+
+class HashEmbedder:
+    """A deterministic embedder for tests and offline use: bytes of SHA-256 counters, normalised."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+
+    def __call__(self, texts: Sequence[str]) -> list[list[float]]:
+        out = []
+        for t in texts:
+            raw = b"".join(hashlib.sha256(f"{k}|{t}".encode("utf-8", "surrogatepass")).digest() for k in range(-(-self.size // 32)))[: self.size]
+            v = np.frombuffer(raw, np.uint8).astype(float) / 127.5 - 1
+            out.append((v / (np.linalg.norm(v) or 1.0)).tolist())
+        return out
+
+
+class BadVectors(ValueError):
+    """A model's answer of wrong number or length, or with a value that is not finite."""
+
+
+def checked_vectors(vectors: Sequence[Sequence[float]], n: int, size: int) -> list[list[float]]:
+    if len(vectors) != n or any(len(v) != size or not np.isfinite(v).all() for v in vectors):
+        raise BadVectors(f"{n} vectors of {size} finite numbers are wanted")
+    return [list(map(float, v)) for v in vectors]
+
+
+def embed(rows: DataFrame, embedder: Embedder, batch: int = MODEL_BATCH, most_chars: int = MOST_CHARS) -> DataFrame:
+    """(id, vector, error): vectors of texts, in batches for the model; long texts lose their middle.
+
+    Tombstones and rows without a text have no vector and no error. Where a batch fails its rows have the error, so that
+    they can be annotated without a vector.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            vectors: list = [None] * len(part)
+            errors: list = [None] * len(part)
+            wanted = [k for k, (t, gone) in enumerate(zip(part["text"], part["tombstone"])) if isinstance(t, str) and not gone]
+            for at in range(0, len(wanted), batch):
+                own = wanted[at : at + batch]
+                try:
+                    made = checked_vectors(embedder([part["text"].iloc[k] for k in own]), len(own), embedder.size)
+                except Exception as e:  # any fault of a model is an annotation, not the end of the job
+                    made = [None] * len(own)
+                    for k in own:
+                        errors[k] = f"{type(e).__name__}: {e}"
+                for k, v in zip(own, made):
+                    vectors[k] = v
+            yield pd.DataFrame({"id": part["id"], "vector": vectors, "error": errors})
+
+    short = rows.select("id", truncate_middle(F.col("text"), most_chars).alias("text"), "tombstone")
+    return short.mapInPandas(run, f"id {kind}, vector array<double>, error string")

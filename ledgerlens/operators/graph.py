@@ -1,13 +1,15 @@
-"""Bounded traversal, distances, orphans and link extraction over an edge table (edge_id, subject, object, predicate)."""
+"""Bounded traversal, distances and orphans over an edge table (edge_id, subject, object, predicate)."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.heads import heads
+from ledgerlens.operators.predicates import versioned
+
 MOST_DEPTH, MOST_PATHS = 16, 500
 
 
@@ -29,22 +31,27 @@ def traverse(edges: DataFrame, seed: str, depth: int, limit: int, direction: str
     """Simple paths from ``seed``: (depth, nodes, edge_ids), at most ``limit + 1`` in the order (depth, nodes, edge_ids).
 
     Each partial path keeps its first ``branch_limit`` steps by (far node, edge id) before the next hop, so a frontier
-    has at most limit * branch_limit paths whatever the graph; the small frontier is the broadcast side.
+    has at most limit * branch_limit paths whatever the graph. It is held here; a hop is one pass over the edges that
+    begin at its nodes, a condition that reaches the scan.
     """
     if not 0 < depth <= MOST_DEPTH or not 0 < limit <= MOST_PATHS:
         raise ValueError(f"depth is 1 to {MOST_DEPTH} and limit 1 to {MOST_PATHS}")
-    walk = steps(edges, direction, predicates)
-    own = branch_limit(limit, depth)
-    paths = edges.sparkSession.createDataFrame([([seed], [])], "nodes array<string>, edge_ids array<string>")
-    found = None
+    walk = steps(edges, direction, predicates).select("near", "far", "edge_id")
+    own, spark = branch_limit(limit, depth), edges.sparkSession
+    schema = "depth int, nodes array<string>, edge_ids array<string>"
+    frontier: list[tuple[list[str], list[str]]] = [([seed], [])]
+    found: list[tuple[int, list[str], list[str]]] = []
     for hop in range(1, depth + 1):
-        last = paths.withColumn("near", F.element_at("nodes", -1)).withColumn("path", F.concat_ws("\x1f", F.concat("nodes", "edge_ids")))
+        ends = sorted({nodes[-1] for nodes, _ in frontier})
+        if not ends or len(found) > limit:  # paths are ordered by depth first
+            break
+        last = spark.createDataFrame([(k, nodes[-1], nodes) for k, (nodes, _) in enumerate(frontier)], "path int, near string, nodes array<string>")
         order = Window.partitionBy("path").orderBy("far", "edge_id")
-        grown = walk.join(F.broadcast(last), "near").where(~F.array_contains("nodes", F.col("far"))).withColumn("n", F.row_number().over(order)).where(F.col("n") <= own)
-        paths = grown.select(F.array_append("nodes", F.col("far")).alias("nodes"), F.array_append("edge_ids", F.col("edge_id")).alias("edge_ids"))
-        here = paths.withColumn("depth", F.lit(hop))
-        found = here if found is None else found.unionByName(here)
-    return found.orderBy("depth", "nodes", "edge_ids").limit(limit + 1).select("depth", "nodes", "edge_ids")
+        grown = walk.where(F.col("near").isin(ends)).join(F.broadcast(last), "near").where(~F.array_contains("nodes", F.col("far")))
+        grown = grown.withColumn("n", F.row_number().over(order)).where(F.col("n") <= own).select("path", "far", "edge_id").collect()
+        frontier = [(frontier[r["path"]][0] + [r["far"]], frontier[r["path"]][1] + [r["edge_id"]]) for r in grown]
+        found += [(hop, nodes, ids) for nodes, ids in frontier]
+    return spark.createDataFrame(sorted(found)[: limit + 1], schema)
 
 
 def distances(paths: DataFrame) -> DataFrame:
@@ -71,75 +78,27 @@ def proximity_boost(ranked: DataFrame, near: DataFrame, weight: float, key: str
     return hit.withColumn(score, F.col(score) + F.coalesce(F.lit(float(weight)) / (F.col("distance") + 1), F.lit(0.0)))
 
 
-WIKI = re.compile(r"\[\[([^\]|#]+)(?:#[^\]|]*)?(?:\|[^\]]*)?\]\]")
-MARKDOWN = re.compile(r"(?<!!)\[([^\]]*)\]\(([^)\s]+)\)")
-CODE = re.compile(r"```.*?```|`[^`]*`", re.S)
-#: Words before a link that name its relation.
-RELATIONS = [("depends_on", r"depends on|requires|needs"), ("part_of", r"part of|belongs to"), ("works_at", r"works (?:at|for)"), ("founded", r"founded|co-founded"), ("mentions", r"")]
-
-
-def extract_links(pages: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, target, source, predicate): wiki and markdown links outside of code, once each."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    rules = [(name, re.compile(rf"(?:{words})\W*$", re.I) if words else None) for name, words in RELATIONS]
-    kind = pages.schema[id_col].dataType.simpleString()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for i, text in zip(part["id"], part["text"]):
-                plain = CODE.sub(" ", text or "")
-                seen = set()
-                for source, pattern, group in (("wiki", WIKI, 1), ("markdown", MARKDOWN, 2)):
-                    for m in pattern.finditer(plain):
-                        before = plain[max(0, m.start() - 40) : m.start()]
-                        predicate = next(n for n, r in rules if r is None or r.search(before))
-                        target = " ".join(m[group].split()).casefold()
-                        if target and (target, predicate, source) not in seen:
-                            seen.add((target, predicate, source))
-                            out.append((i, target, source, predicate))
-            yield pd.DataFrame(out, columns=["id", "target", "source", "predicate"])
-
-    return pages.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, target string, source string, predicate string")
-
-
-def extract_facts(pages: DataFrame, heading: str, id_col: str = "id", text_col: str = "text", most: int = 100, length: int = 80) -> DataFrame:
-    """(id, ordinal, fact): bullets under a heading, fenced code apart, continuation lines joined, once a page."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    kind = pages.schema[id_col].dataType.simpleString()
-
-    def facts(text: str) -> list[str]:
-        inside = fenced = False
-        found: list[str] = []
-        for line in text.splitlines():
-            bare = line.strip()
-            if bare.startswith("```"):
-                fenced = not fenced
-            elif fenced:
-                continue
-            elif bare.startswith("#"):
-                inside = bare.lstrip("#").strip().casefold() == heading.casefold()
-            elif inside and re.match(r"[-*+] ", bare):
-                found.append(bare[2:].strip())
-            elif inside and bare and found and line[:1].isspace():
-                found[-1] += " " + bare
-        once: dict[str, str] = {}
-        for f in (" ".join(f.split()) for f in found):
-            if f:
-                once.setdefault(f.casefold(), f[:length])
-        return list(once.values())[:most]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = [(i, n, f) for i, text in zip(part["id"], part["text"]) for n, f in enumerate(facts(text or ""), 1)]
-            yield pd.DataFrame(out, columns=["id", "ordinal", "fact"])
-
-    return pages.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, ordinal int, fact string")
+def edges_of(rows: DataFrame, roles: Mapping[str, Mapping[int, str]]) -> DataFrame:
+    """Edge rows that may be walked (active, ready, no tombstones) with their roles read from declared JSON paths.
+
+    ``roles``: subject, object and predicate to the path in each version; rows of undeclared versions have null roles and
+    are on no path.
+    """
+    live = rows.where("status = 'active' AND ready AND NOT tombstone")
+    return live.select("*", *[versioned(paths).alias(role) for role, paths in roles.items()])
 
 
+def live_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Current ready nodes (entity, key, id) without a live edge in either role within their entity.
+
+    An edge is live if it cites no version of its subject, or cites the current one; what an old revision said does not
+    keep a node connected.
+    """
+    current = heads(nodes.where("ready"), ("entity", "key")).where("NOT tombstone").select("entity", "key", "id")
+    usable = edges.where("status = 'active' AND ready AND NOT tombstone").select("edge_id", "entity", "subject", "object", "derived_from")
+    cited = usable.select("edge_id", "entity", F.col("subject").alias("key"), F.explode("derived_from").alias("id"))
+    versions = cited.join(nodes.select("entity", "key", "id").distinct(), ["entity", "key", "id"]).join(current.withColumn("__now", F.lit(True)), ["entity", "key", "id"], "left")
+    stale = versions.groupBy("edge_id").agg(F.count("__now").alias("now")).where("now = 0").select("edge_id")
+    live = usable.join(stale, "edge_id", "left_anti")
+    ends = live.select("entity", F.col("subject").alias("key")).unionByName(live.select("entity", F.col("object").alias("key"))).distinct()
+    return current.join(ends, ["entity", "key"], "left_anti")

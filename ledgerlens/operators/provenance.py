@@ -8,37 +8,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.heads import heads
+from ledgerlens.session import held
 
 
 def parents(log: DataFrame, id_col: str = "id", column: str = "derived_from") -> DataFrame:
     return log.select(F.col(id_col).alias("child"), F.explode(column).alias("parent"))
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """The rows of one round without the plan of the rounds before: checkpointed where the session has a folder for it.
-    A local session has no executors to lose, so its own disk will do."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.localCheckpoint() if (spark.conf.get("spark.master", None) or "").startswith("local") else df.persist()
+#: Rows of a frontier that are sent to all tasks; a larger one is joined by shuffle.
+SMALL = 10_000
 
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id, distance): seeds and all that descends from them. Each round joins the frontier of the last one only.
 
-    Ends at the fix point: ids that are known are not met again, so cycles end too.
+    Ends at the fix point: ids that are known are not met again, so cycles end too. While what is known has at most
+    ``SMALL`` rows it is held here, and a round is one pass over the edges without a shuffle of them; beyond that rounds
+    are written tables.
     """
-    edges = _held(edges.select("child", "parent"))
-    known = frontier = _held(seeds.select(F.col("id"), F.lit(0).alias("distance")).distinct())
-    n = 0
+    spark, edges = seeds.sparkSession, held(edges.select("child", "parent"))
+    schema = seeds.select(F.col("id"), F.lit(0).alias("distance")).schema
+    first = seeds.select("id").distinct().limit(SMALL + 1).collect()
+    n, near, known = 0, {r["id"] for r in first}, {r["id"]: 0 for r in first}
+    while near and len(known) <= SMALL:
+        n += 1
+        frontier = spark.createDataFrame([(i,) for i in near], schema[:1]).withColumnRenamed("id", "parent")
+        found = edges.join(F.broadcast(frontier), "parent").select("child").distinct().limit(SMALL + len(known) + 1).collect()
+        near = {r["child"] for r in found} - known.keys()
+        known.update(dict.fromkeys(near, n))
+    if len(known) <= SMALL:
+        return spark.createDataFrame(list(known.items()), schema)
+    if n:  # the last round may not be whole: it is done again
+        known = {i: d for i, d in known.items() if d < n}
+        every = held(spark.createDataFrame(list(known.items()), schema))
+        return _closed(edges, every, every.where(F.col("distance") == n - 1), n - 1)
+    every = held(seeds.select(F.col("id"), F.lit(0).alias("distance")).distinct())
+    return _closed(edges, every, every, 0)
+
+
+def _closed(edges: DataFrame, known: DataFrame, frontier: DataFrame, n: int) -> DataFrame:
     while True:
         n += 1
-        fresh = _held(edges.join(frontier.select(F.col("id").alias("parent")), "parent").select(F.col("child").alias("id")).distinct().join(known, "id", "left_anti").withColumn("distance", F.lit(n)))
+        fresh = held(edges.join(frontier.select(F.col("id").alias("parent")), "parent").select(F.col("child").alias("id")).distinct().join(known, "id", "left_anti").withColumn("distance", F.lit(n)))
         if not fresh.head(1):
             return known
         known, frontier = known.unionByName(fresh), fresh
         if n % 16 == 0:
-            known = _held(known)
+            known = held(known)
+
+
+def erasure_scope(log: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id): rows to erase: the seeds, the runs that made them, and all that descends from either."""
+    own = seeds.select("id").union(seeds.where("run_id IS NOT NULL").select("run_id"))
+    return closure(parents(log.where("derived_from IS NOT NULL")), own).select("id")
+
+
+def ancestry_faults(edges: DataFrame, rows: DataFrame) -> DataFrame:
+    """(child, cycle, bad_order, foreign_tenant, missing): what is wrong with a row's parents."""
+    child = rows.select(F.col("id").alias("child"), F.col("seq").alias("__own"), F.col("workspace").alias("__tenant"))
+    parent = rows.select(F.col("id").alias("parent"), F.col("seq").alias("__seq"), F.col("workspace").alias("__other"))
+    found = edges.join(child, "child").join(parent, "parent", "left")
+    foreign = F.col("__other").isNotNull() & (F.col("__other") != F.col("__tenant"))
+    return found.groupBy("child").agg(F.bool_or(F.col("parent") == F.col("child")).alias("cycle"), F.bool_or(F.col("__seq") >= F.col("__own")).alias("bad_order"), F.bool_or(foreign).alias("foreign_tenant"), F.bool_or(F.col("__seq").isNull()).alias("missing"))
 
 
 def erase(log: DataFrame, doomed: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -50,8 +81,8 @@ def erase(log: DataFrame, doomed: DataFrame, id_col: str = "id") -> tuple[DataFr
 
 def depths(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, depth): 0 for roots, else one more than the deepest parent. Round n holds the rows with a path of n steps."""
-    edges = _held(edges.select("child", "parent"))
-    level = _held(edges.select(F.col("child").alias("id")).distinct())
+    edges = held(edges.select("child", "parent"))
+    level = held(edges.select(F.col("child").alias("id")).distinct())
     longest = level.count()  # without a cycle no path has more steps than there are children
     found = rows.select("id", F.lit(0).alias("depth"))
     n = 0
@@ -61,8 +92,8 @@ def depths(rows: DataFrame, edges: DataFrame) -> DataFrame:
             raise ValueError("derived_from has a cycle: depths are not defined")
         found = found.unionByName(level.withColumn("depth", F.lit(n)))
         if n % 16 == 0:
-            found = _held(found.groupBy("id").agg(F.max("depth").alias("depth")))
-        level = _held(edges.join(level.select(F.col("id").alias("parent")), "parent").select(F.col("child").alias("id")).distinct())
+            found = held(found.groupBy("id").agg(F.max("depth").alias("depth")))
+        level = held(edges.join(level.select(F.col("id").alias("parent")), "parent").select(F.col("child").alias("id")).distinct())
     return found.groupBy("id").agg(F.max("depth").alias("depth"))
 
 

@@ -11,7 +11,7 @@ from ledgerlens.functions import render, text, vectors
 from ledgerlens.operators import enrich, graph, heads, lifecycle, packing, predicates, provenance, ranking, triggers
 from ledgerlens.plans import artifacts, catalog
 from ledgerlens.plans.search import Source, run_source, search
-from ledgerlens.sources.records import Scope, activity, append, graph_edges, ingest, scan, table
+from ledgerlens.sources.records import Scope, activity, graph_edges, scan, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -392,17 +392,6 @@ def graph_orphans(s, d):
     return graph.orphans(table(s, d, "customer").select(F.col("c_custkey").alias("key")), made.withColumn("object", F.lit(None).cast("bigint")))
 
 
-@query("link_extract")
-def link_extract(s, d):
-    pages = table(s, d, "documents").select("doc_id", F.concat(F.lit("See [[Page "), F.col("source"), F.lit("]] and depends on [x](docs/"), F.col("lang"), F.lit(").")).alias("text"))
-    return graph.extract_links(pages, "doc_id")
-
-
-@query("fact_extract")
-def fact_extract(s, d):
-    pages = table(s, d, "documents").select("doc_id", F.concat(F.lit("# Facts\n- Source "), F.col("source"), F.lit("\n- Language "), F.col("lang"), F.lit("\n# Rest\n- no")).alias("text"))
-    return graph.extract_facts(pages, "facts", "doc_id")
-
 
 # Provenance and lifecycle.
 LINKS = LOG + ", links AS (SELECT id AS child, id // 3 AS parent FROM log WHERE id % 2 = 1)"
@@ -478,18 +467,6 @@ def reindex_since(s, d):
     return provenance.reindex_scope(activity(s, d), 600, SLOT)
 
 
-@query("ingest_dedupe", LOG + " SELECT id, CASE WHEN id < 50 AND id % 4 = 0 THEN 'duplicate' WHEN id < 50 THEN 'conflict' ELSE 'inserted' END AS verdict FROM log WHERE id < 120")
-def ingest_dedupe(s, d):
-    log = activity(s, d).select("id", "seq", "collection", "entity", "key", "type", "status", F.col("value").cast("string").alias("content"), F.concat(F.lit("d"), F.col("id").cast("string")).alias("dedupe_key"))
-    batch = log.where("id < 120").withColumn("content", F.when((F.col("id") < 50) & (F.col("id") % 4 != 0), "other").otherwise(F.col("content")))
-    return ingest(log.where("id < 50"), batch).select("id", "verdict")
-
-
-@query("ingest_append", LOG + " SELECT id, CAST(row_number() OVER (ORDER BY id) AS BIGINT) AS seq FROM log WHERE id < 80")
-def ingest_append(s, d):
-    log = activity(s, d).select("id", "seq", "collection", "entity", "key", "type", "status", F.col("value").cast("string").alias("content"), F.concat(F.lit("d"), F.col("id").cast("string")).alias("dedupe_key"))
-    return append(log.where("id < 50"), ingest(log.where("id < 50"), log.where("id < 80")).withColumn("ordinal", F.col("id"))).select("id", "seq")
-
 
 # Triggers.
 @query("watermarks", RUNS + f" SELECT entity, watermark, strftime(last_success, '{DTS}') AS last_success FROM marks")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", app: str = "ledgerlens", partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -24,3 +24,28 @@ def local_session(cpus: int | str = "*", app: str = "ledgerlens", partitions: in
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over at least as many tasks as there are cores, for work that costs much a row.
+
+    Only a plain scan of fewer splits than cores is dealt anew, which is a small input: a large one has more splits.
+    """
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "AdaptiveSparkPlan" in plan:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def held(rows: DataFrame) -> DataFrame:
+    """The rows without the plan that made them: checkpointed where the session has a folder for it.
+
+    A local session has no executors to lose, so its own disk will do.
+    """
+    spark = rows.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None):
+        return rows.checkpoint()
+    if (spark.conf.get("spark.master", None) or "").startswith("local"):
+        return rows.localCheckpoint()
+    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
