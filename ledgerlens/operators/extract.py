@@ -127,7 +127,10 @@ def declared_facts(body: str, heading: str, length: int = 80) -> list[str]:
             open_ = False
     whole = [" ".join(" ".join(x).split()) for x in out]
     short = [f if len(f) <= length else f[: length - 1].rstrip() + "…" for f in whole if f]
-    return list({f.casefold(): f for f in reversed(short)}.values())[::-1]
+    once: dict[str, str] = {}
+    for f in short:
+        once.setdefault(f.casefold(), f)
+    return list(once.values())
 
 
 def facts(pages: DataFrame, heading: str, length: int = 80) -> DataFrame:

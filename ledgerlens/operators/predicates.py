@@ -25,7 +25,7 @@ def check(kind: str, op: str, value: Any) -> None:
         raise IllegalPredicate(f"{op} needs an array field")
     if op == "in" and not 0 < len(value) <= MOST_VALUES:
         raise IllegalPredicate(f"in takes 1 to {MOST_VALUES} values")
-    if kind in ("number", "integer") and any(isinstance(v, bool) for v in (value if isinstance(value, (list, tuple)) else [value])):
+    if op != "exists" and kind in ("number", "integer") and any(isinstance(v, bool) for v in (value if isinstance(value, (list, tuple)) else [value])):
         raise IllegalPredicate("a boolean is no number")
 
 

@@ -38,6 +38,37 @@ def _size(node: Any, depth: int = 1) -> int:
     return 1
 
 
+def check_rank(node: Any, signals: set[str] | None = None, scores: set[str] | None = None) -> None:
+    """An error for a rank that is too large, or uses a search signal that its mode does not have or an unknown score."""
+    if _size(node) > MOST_NODES:
+        raise IllegalRank(f"more than {MOST_NODES} nodes")
+    if isinstance(node, str):
+        if signals is not None and node in ("similarity", "text_match") and node not in signals:
+            raise IllegalRank(f"{node} is not known in this mode")
+        return
+    if isinstance(node, (int, float)):
+        return
+    ((kind, body),) = node.items()
+    if kind == "score":
+        if scores is not None and body not in scores:
+            raise IllegalRank(f"unknown score {body}")
+    elif kind in ("sum", "max"):
+        for x in body:
+            check_rank(x, signals, scores)
+    elif kind == "normalize":
+        check_rank(body, signals, scores)
+    elif kind in ("saturate", "decay", "product"):
+        check_rank(body["of"], signals, scores)
+    elif kind not in ("const", "age_hours"):
+        raise IllegalRank(f"unknown rank {kind}")
+
+
+def finite(score: Column) -> Column:
+    """``score``, with an error for rows where it is not a finite number."""
+    bad = F.isnan(score) | (F.abs(score) == float("inf"))
+    return F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit("a rank is not finite")).cast("double")).otherwise(score)
+
+
 def compile_rank(node: Any, now: Column | None = None, pool: Sequence[str] = ()) -> Column:
     """A column for a rank expression. ``pool``: columns that part the rows into candidate pools, for ``normalize``."""
     if _size(node) > MOST_NODES:

@@ -110,6 +110,9 @@ class Catalog:
         self._acyclic()
         for v in self.families.get("views", {}).values():
             self._view(v)
+        from ledgerlens.plans import checks
+
+        checks.check(self)
 
     def _collection(self, c: Mapping[str, Any]) -> None:
         schema = c.get("schema") or {}
@@ -122,6 +125,8 @@ class Catalog:
             if at_path(schema, ref.removeprefix("content.")) is None:
                 raise CatalogError("projection_unknown", ref)
         for name, f in (c.get("fields") or {}).items():
+            if f.get("annotation"):
+                continue  # checked against the processor's schema
             found = at_path(schema, f["path"])
             if found is None:
                 raise CatalogError("field_path_unknown", f"{name}: {f['path']}")
@@ -212,15 +217,9 @@ def filled(node: Any, values: Mapping[str, Any]) -> Any:
 
 def verdict(old: Mapping[str, Any], new: Mapping[str, Any]) -> str:
     """How a changed collection reads stored rows: invisible, additive or reinterpreting."""
-    if contract_hash(old) == contract_hash(new):
-        return "invisible"
-    same = all(old.get(k) == new.get(k) for k in ("mode", "text_projection"))
-    fields_kept = all((new.get("fields") or {}).get(n) == f for n, f in (old.get("fields") or {}).items())
-    before, after = (s.get("schema") or {} for s in (old, new))
-    kept = all((after.get("properties") or {}).get(n) == p for n, p in (before.get("properties") or {}).items())
-    needs = set(after.get("required", [])) <= set(before.get("required", []))
-    processors = set(new.get("required_processors") or []) <= set(old.get("required_processors") or [])
-    return "additive" if same and fields_kept and kept and needs and processors else "reinterpreting"
+    from ledgerlens.plans.compat import judge
+
+    return judge(old, new).verdict
 
 
 def valid(value: Any, schema: Mapping[str, Any]) -> bool:

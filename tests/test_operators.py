@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import render, text, vectors
-from ledgerlens.operators import enrich, graph, heads, packing, predicates, provenance, ranking, triggers
+from ledgerlens.operators import enrich, extract, graph, heads, packing, predicates, provenance, ranking, triggers
 from ledgerlens.plans.search import IllegalSearch, Source, run_source
-from ledgerlens.sources.records import Scope, append, ingest, scan
+from ledgerlens.sources.records import IllegalBatch, Scope, append, ingest, scan
 
 DAY = dt.datetime(2026, 7, 16, 12)
 
@@ -111,11 +111,25 @@ def test_traversal_equals_a_plain_walk(spark, seed, direction):
     assert graph.traverse(df, "absent", 2, 5, direction).count() == 0
 
 
-def test_links_and_facts(spark):
-    pages = spark.createDataFrame([(1, "It depends on [[Core Lib|core]] and [x](docs/a) `[[no]]` ```\n[[no]]\n``` depends on [[core lib]]."), (2, None)], "id int, text string")
-    assert sorted(tuple(r)[1:] for r in graph.extract_links(pages).collect()) == [("core lib", "wiki", "depends_on"), ("docs/a", "markdown", "mentions")]
-    facts = spark.createDataFrame([(1, "# Facts\n- One\n  more\n- two\n```\n- no\n```\n- ONE more\n## Other\n- no")], "id int, text string")
-    assert [(r["ordinal"], r["fact"]) for r in graph.extract_facts(facts, "facts").orderBy("ordinal").collect()] == [(1, "One more"), (2, "two")]
+PAGES = "id int, key string, title string, type string, body string"
+
+
+def test_relations_of_pages(spark):
+    body = "Ann works at [Acme](../companies/acme.md#x) and see [[Beta Corp|Beta]], [[companies/gamma]] or people/bob. `[[Beta Corp]]` ```\n[[Beta Corp]]\n``` [[No Such Page]] again people/bob"
+    rows = [(1, "people/ann", "Ann", "person", body), (2, "companies/beta-corp", None, "company", None), (3, "notes/beta-corp", "x", "note", ""), (4, "m/1", "Standup", "meeting", "With people/ann and people/ann")]
+    got = {(r["subject"], r["object"], r["predicate"], r["link_source"]) for r in extract.relations(spark.createDataFrame(rows, PAGES), ("people", "companies")).collect()}
+    assert got == {
+        ("people/ann", "companies/acme", "works_at", "markdown"), ("people/ann", "companies/beta-corp", "wikilink_basename", "wikilink-resolved"), ("people/ann", "notes/beta-corp", "wikilink_basename", "wikilink-resolved"),
+        ("people/ann", "companies/gamma", "works_at", "markdown"), ("people/ann", "people/bob", "works_at", "bare-slug"), ("people/ann", "people/bob", "mentions", "bare-slug"), ("m/1", "people/ann", "attended", "bare-slug"),
+    }
+
+
+def test_declared_facts(spark):
+    body = "# Facts\n- no, a title\n## Facts ##\n- One\n  more\n2) two\n~~~\n- no\n~~~\n- ONE more\n\n  no\ntext\n* " + "x" * 90 + "\n### Other\n- no"
+    assert extract.declared_facts(body, "facts") == ["One more", "two", "x" * 79 + "…"]
+    pages = spark.createDataFrame([(1, "b", None, None, body), (2, "a", None, None, None), (3, "a", None, None, "## FACTS\n+ last")], PAGES)
+    lines, left = extract.fact_index(extract.facts(pages, "Facts"), 2)
+    assert lines == ["Page facts index:", "a: last", "b: One more", "Index truncated: 2 declared facts omitted."] and left == 2
 
 
 def test_closure_and_depth_of_a_diamond(spark):
@@ -133,6 +147,12 @@ def test_ingest_is_all_or_nothing(spark):
     assert {r["id"]: r["verdict"] for r in ingest(log, good).collect()} == {1: "duplicate", 2: "inserted"}
     assert sorted(r["seq"] for r in append(log, ingest(log, good)).collect()) == [1, 2]
     assert append(log, ingest(log, bad)).count() == 1
+    twice = good.where("id = 2").unionByName(good.where("id = 2").withColumn("id", F.lit(3).cast("long")).withColumn("content", F.lit("z"))).withColumn("ordinal", F.col("id"))
+    assert {r["id"]: r["verdict"] for r in ingest(log, twice).collect()} == {2: "inserted", 3: "conflict"}
+    with pytest.raises(IllegalBatch):
+        append(log, ingest(log, good), most=1)
+    nothing = good.withColumn("dedupe_key", F.lit(None).cast("string"))
+    assert {r["verdict"] for r in ingest(log, nothing).collect()} == {"inserted"}
 
 
 def test_accumulators(spark):
