@@ -67,11 +67,10 @@ def derive_record_outcome(s, d):
 
 
 EMIT = dv.Emission("activity", keys=("click", "error", "purchase", "signup", "view"), max_records=10)
-CONTENT = F.col("k").cast("string")
 
 
 def _log(s: SparkSession, d: str) -> DataFrame:
-    return activity(s, d).withColumn("content", CONTENT).withColumn("depth", (F.col("id") % 4).cast("int"))
+    return activity(s, d).withColumn("content", F.col("k").cast("string")).withColumn("depth", (F.col("id") % 4).cast("int"))
 
 
 HEAD_SQL = """, now AS (SELECT * FROM log WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY entity, key ORDER BY seq DESC) = 1),

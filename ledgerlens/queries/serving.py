@@ -33,9 +33,9 @@ def _joined(c: str):
     return F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
 
 
-@query("record_summary", REC + f" SELECT id, seq, key, ready, tombstone, run_id, {SHORT.format(n=500, a=238, b=239)} AS text, {ISO.format('occurred_at')} AS occurred_at FROM rec")
+@query("record_summary", REC + f" SELECT id, seq, key, ready, tombstone, coalesce(run_id, -1) AS run_id, {SHORT.format(n=500, a=238, b=239)} AS text, {ISO.format('occurred_at')} AS occurred_at FROM rec")
 def record_summary(s, d):
-    return projection.summary(_records(s, d)).select("id", "seq", "key", "ready", "tombstone", "run_id", "text", "occurred_at")
+    return projection.summary(_records(s, d)).select("id", "seq", "key", "ready", "tombstone", F.coalesce("run_id", F.lit(-1)).alias("run_id"), "text", "occurred_at")
 
 
 @query("record_version", REC + " SELECT id, seq, entity, depth, array_to_string(cited, ',') AS citations FROM (SELECT *, CAST(id % 4 AS INT) AS depth FROM rec)")
@@ -53,11 +53,11 @@ def retraction_view(s, d):
     return projection.retraction(heads.document(_records(s, d))[1])
 
 
-@query("hit_projection", REC + f", r AS (SELECT *, row_number() OVER (ORDER BY value DESC, occurred_at DESC, seq DESC, CAST(id AS VARCHAR)) AS rank FROM rec WHERE status = 'active' AND ready AND NOT tombstone QUALIFY rank <= 100) SELECT id, rank, value AS score, text, entity, {ISO.format('occurred_at')} AS occurred_at, CASE WHEN version = 2 THEN k END AS amount, type AS topic FROM r")
+@query("hit_projection", REC + f", r AS (SELECT *, row_number() OVER (ORDER BY value DESC, occurred_at DESC, seq DESC, CAST(id AS VARCHAR)) AS rank FROM rec WHERE status = 'active' AND ready AND NOT tombstone QUALIFY rank <= 100) SELECT id, rank, value AS score, text, entity, {ISO.format('occurred_at')} AS occurred_at, CASE WHEN version = 2 THEN k ELSE -1 END AS amount, type AS topic FROM r")
 def hit_projection(s, d):
     ranked = ranking.numbered(scan(_records(s, d), Scope()), ranking.by_relevance("value"), 100).withColumn("score", F.col("value")).withColumn("rank", F.col("rank").cast("bigint"))
     made = projection.hits(ranked, ("text", "entity", "occurred_at"), {"amount": F.when(F.col("version") == 2, F.col("k"))}, ("topic",))
-    return made.select("id", "rank", "score", "text", "entity", "occurred_at", F.col("fields.amount").alias("amount"), F.col("annotations.topic").alias("topic"))
+    return made.select("id", "rank", "score", "text", "entity", "occurred_at", F.coalesce("fields.amount", F.lit(-1)).alias("amount"), F.col("annotations.topic").alias("topic"))
 
 
 @query("map_records", "SELECT event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS amount, event_type AS key, CASE WHEN event_id % 7 = 0 THEN 'none' ELSE 'u' || user_id END AS owner, 'copied' AS origin FROM events")

@@ -142,11 +142,11 @@ def rewrite_offenders(s, d):
     return storage.rewrite_offenders(rows, {"k": {"type": "integer", "maximum": 60}}, ("mood",)).select("id", F.array_join("faults", ",").alias("faults"))
 
 
-@query("vector_cutover", "SELECT vec_id AS id, CASE WHEN vec_id % 5 <> 0 THEN label + 100 END AS vector, label AS old_vector, vec_id % 5 = 0 AS pending FROM embeddings")
+@query("vector_cutover", "SELECT vec_id AS id, CASE WHEN vec_id % 5 <> 0 THEN label + 100 ELSE -1 END AS vector, label AS old_vector, vec_id % 5 = 0 AS pending FROM embeddings")
 def vector_cutover(s, d):
     rows = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("v1").alias("space"), F.col("label").alias("vector"))
     staged = rows.where("id % 5 <> 0").select("id", (F.col("vector") + 100).alias("vector"))
-    return storage.cutover(rows, staged, "v2").select("id", "vector", "old_vector", "pending")
+    return storage.cutover(rows, staged, "v2").select("id", F.coalesce("vector", F.lit(-1)).alias("vector"), "old_vector", "pending")
 
 
 @query("vector_audit", LOG + " SELECT 's' || (id % 3) AS vector_space, 'm' || (id % 2) AS vector_model, count(*) AS n, min(id) AS first_id FROM log WHERE NOT (id % 3 = 0 AND id % 2 = 0) GROUP BY ALL")
@@ -170,14 +170,14 @@ def contract_audit(s, d):
     return storage.contract_audit(rows, s.createDataFrame([("activity", 1, f"h{k}") for k in range(3)], "collection string, version int, hash string"))
 
 
-@query("job_status", LOG + ", j AS (SELECT id AS job, CASE WHEN id % 3 > 0 THEN occurred_at END AS started_at, CASE WHEN id % 3 = 2 THEN occurred_at + INTERVAL 90 SECOND END AS done_at, CASE WHEN id % 30 = 20 THEN 'bad' END AS error FROM log WHERE id % 10 = 0), r AS (SELECT id // 10 * 10 AS job, list(id ORDER BY id DESC) AS runs FROM log WHERE id % 10 IN (1, 2) GROUP BY ALL) SELECT job, CASE WHEN done_at IS NOT NULL THEN CASE WHEN error IS NULL THEN 'done' ELSE 'failed' END WHEN started_at IS NOT NULL THEN 'running' ELSE 'waiting' END AS state, date_diff('second', started_at, done_at) AS seconds, coalesce(array_to_string(runs, ','), '') AS runs FROM j LEFT JOIN r USING (job)")
+@query("job_status", LOG + ", j AS (SELECT id AS job, CASE WHEN id % 3 > 0 THEN occurred_at END AS started_at, CASE WHEN id % 3 = 2 THEN occurred_at + INTERVAL 90 SECOND END AS done_at, CASE WHEN id % 30 = 20 THEN 'bad' END AS error FROM log WHERE id % 10 = 0), r AS (SELECT id // 10 * 10 AS job, list(id ORDER BY id DESC) AS runs FROM log WHERE id % 10 IN (1, 2) GROUP BY ALL) SELECT job, CASE WHEN done_at IS NOT NULL THEN CASE WHEN error IS NULL THEN 'done' ELSE 'failed' END WHEN started_at IS NOT NULL THEN 'running' ELSE 'waiting' END AS state, coalesce(date_diff('second', started_at, done_at), -1) AS seconds, coalesce(array_to_string(runs, ','), '') AS runs FROM j LEFT JOIN r USING (job)")
 def job_status(s, d):
     n, log = F.col("id"), activity(s, d)
     started = F.when(n % 3 > 0, F.col("occurred_at"))
     done = F.when(n % 3 == 2, F.col("occurred_at") + F.expr("INTERVAL 90 SECOND"))
     jobs = log.where("id % 10 = 0").select(n.alias("job"), started.alias("started_at"), done.alias("done_at"), F.when(n % 30 == 20, "bad").alias("error"), F.lit(1).alias("attempts"))
     runs = log.where("id % 10 IN (1, 2)").select((F.floor(n / 10) * 10).alias("job"), n.alias("run"), "seq")
-    return storage.job_status(jobs, runs).select("job", "state", "seconds", F.array_join(F.col("runs").cast("array<string>"), ",").alias("runs"))
+    return storage.job_status(jobs, runs).select("job", "state", F.coalesce("seconds", F.lit(-1)).alias("seconds"), F.array_join(F.col("runs").cast("array<string>"), ",").alias("runs"))
 
 
 @query("entity_page", LOG + " SELECT DISTINCT entity FROM log WHERE entity > 'user-12' ORDER BY entity LIMIT 60")
