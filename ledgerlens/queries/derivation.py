@@ -77,9 +77,9 @@ HEAD_SQL = """, now AS (SELECT * FROM log WHERE status = 'active' QUALIFY row_nu
 x AS (SELECT e.entity, k.key, h.id AS head_id, CAST(h.k AS VARCHAR) AS head_content, CAST(h.id % 4 AS INT) AS head_depth, h.tombstone AS head_tombstone FROM (SELECT DISTINCT entity FROM log) e CROSS JOIN (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS key) k LEFT JOIN now h ON h.entity = e.entity AND h.key = k.key)"""
 
 
-@query("derive_expected_heads", LOG + HEAD_SQL + " SELECT entity, key, head_id, head_tombstone FROM x")
+@query("derive_expected_heads", LOG + HEAD_SQL + " SELECT entity, key, coalesce(head_id, -1) AS head_id, coalesce(head_tombstone, false) AS head_tombstone FROM x")
 def derive_expected_heads(s, d):
-    return dv.expected_heads(_log(s, d), EMIT).select("entity", "key", "head_id", "head_tombstone")
+    return dv.expected_heads(_log(s, d), EMIT).select("entity", "key", F.coalesce("head_id", F.lit(-1)).alias("head_id"), F.coalesce("head_tombstone", F.lit(False)).alias("head_tombstone"))
 
 
 #: One draft for each entity and type that its run read; some entities cite what they could not see or leave the text out.
