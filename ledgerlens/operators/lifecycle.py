@@ -26,6 +26,34 @@ def promotion(log: DataFrame, base: DataFrame, content: str) -> DataFrame:
     return sums.select("entity", F.when(F.col("same"), "already").when(F.col("moved"), "conflict").otherwise("promote").alias("verdict"), "n")
 
 
+def promoted(log: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows that promotions append: the current drafts of entities to promote, as active rows, numbered from the log's end."""
+    from ledgerlens.operators.numbering import numbered_on
+
+    draft = heads(log.where("status = 'draft' AND key IS NOT NULL"), ("entity", "key")).join(verdicts.where("verdict = 'promote'").select("entity"), "entity", "left_semi")
+    end = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("__end"))
+    rows = draft.withColumn("promoted_from", F.col("id")).withColumn("status", F.lit("active")).drop("seq").crossJoin(F.broadcast(end))  # one row
+    return numbered_on(rows, [F.col("entity"), F.col("key")], F.col("__end")).drop("__end")
+
+
+def all_references(log: DataFrame, runs: DataFrame, uses: DataFrame, annotations: str = "annotations") -> DataFrame:
+    """(kind, name, n): rows of each collection version, rows with each annotation, runs of each derivation, uses of each
+    artifact: what must be gone before a definition can be pruned."""
+    counted = lambda rows, kind, name: rows.groupBy(name.alias("name")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
+    versions = counted(log, "collection", F.concat_ws("@", "collection", F.col("version").cast("string")))
+    return versions.unionAll(counted(log.select(F.explode(F.map_keys(annotations)).alias("a")), "annotation", F.col("a"))).unionAll(counted(runs, "derivation", F.col("processor"))).unionAll(counted(uses, "artifact", F.col("artifact")))
+
+
+def index_refresh(log: DataFrame, changed: DataFrame, slot: Sequence[str]) -> DataFrame:
+    """(id, is_latest): of each slot that changed rows (ids) touch, its newest ready row and the newest ready row without
+    the changed ones: the rows whose place in an index may have moved."""
+    touched = log.join(changed.select("id"), "id", "left_semi").where("key IS NOT NULL").select(*slot).distinct()
+    ready = log.where("ready AND key IS NOT NULL").join(touched, list(slot), "left_semi")
+    latest = heads(ready, slot).select("id", F.lit(True).alias("is_latest"))
+    before = heads(ready.join(changed.select("id"), "id", "left_anti"), slot).select("id", F.lit(False).alias("is_latest"))
+    return latest.unionAll(before).groupBy("id").agg(F.bool_or("is_latest").alias("is_latest"))
+
+
 def backfill_page(rows: DataFrame, done: DataFrame, after: int, limit: int) -> DataFrame:
     """The next ``limit`` ready rows after a cursor that lack the annotation, oldest first; the cursor moves to the last."""
     return rows.where(F.col("ready") & (F.col("seq") > after)).join(done.select("id").distinct(), "id", "left_anti").orderBy("seq").limit(limit)

@@ -47,3 +47,11 @@ def render(template: str, blocks: Mapping[str, Block]) -> Artifact:
 def is_stale(artifact_hash: str, definition_hash: str, seen_seq: int, scope: DataFrame) -> bool:
     """Whether the definition changed, or the scope has rows past those seen."""
     return artifact_hash != definition_hash or (scope.agg(F.max("seq")).first()[0] or 0) > seen_seq
+
+
+def staleness(made: DataFrame, definition_hash: str, scope: DataFrame) -> DataFrame:
+    """(artifact, state) of rendered artifacts (artifact, hash, seen_seq): ``definition`` if it changed, ``rows`` if the
+    artifact's scope (artifact, seq) has newer ones, else ``fresh``."""
+    top = scope.groupBy("artifact").agg(F.max("seq").alias("__top"))
+    state = F.when(F.col("hash") != definition_hash, "definition").when(F.col("__top") > F.col("seen_seq"), "rows").otherwise("fresh")
+    return made.join(top, "artifact", "left").select("artifact", state.alias("state"))

@@ -14,6 +14,8 @@ from ledgerlens.functions.vectors import query_cosine
 from ledgerlens.operators import predicates, ranking
 from ledgerlens.sources.records import Scope, scan
 
+#: Declared types and what they are read as.
+SPARK_KINDS = {"string": "string", "number": "double", "integer": "bigint", "boolean": "boolean", "datetime": "timestamp"}
 MODES = ("vector", "text", "hybrid", "recent", "structured")
 MOST_SOURCES, MOST_K, MOST_CANDIDATES = 8, 100, 1000
 
@@ -34,6 +36,8 @@ class Source:
     k: int = 10
     candidates: int | None = None
     weight: float = 1.0
+    #: Declared fields read from JSON content: name to (type, {version: path}); conditions and orders may use them.
+    fields: Mapping[str, tuple[str, Mapping[int, str]]] = field(default_factory=dict)
     #: Conditions normally apply after the candidate cap, as the modes' recall is defined; this applies them before.
     prefilter: bool = False
 
@@ -77,6 +81,8 @@ def run_source(log: DataFrame, source: Source, now: Column | None = None) -> Dat
     """Ranked rows of one source with rank_score, score (public) and rank, the first k."""
     source.check()
     rows = scan(log, source.scope)
+    for name, (kind, paths) in source.fields.items():
+        rows = rows.withColumn(name, predicates.versioned(paths, kind=SPARK_KINDS[kind]))
     if source.prefilter:
         rows = predicates.where(rows, source.where)
     found = candidates(signals(rows, source), source)

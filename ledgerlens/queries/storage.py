@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import json_schema
-from ledgerlens.operators import enrich, extract, graph, provenance, storage, triggers
+from ledgerlens.operators import enrich, extract, graph, lifecycle, provenance, storage, triggers
+from ledgerlens.plans import artifacts
+from ledgerlens.plans.search import Source, run_source
 from ledgerlens.registry import LOG, RUNS, _runs, query
 from ledgerlens.sources.records import activity, append, batch_depths, ingest, table
 
@@ -285,3 +287,44 @@ def token_batches(s, d):
 def pending_by_processor(s, d):
     log = activity(s, d)
     return triggers.pending(log, triggers.watermarks(_runs(log))).groupBy("entity").agg(F.count("*").alias("waiting")).where("waiting > 10")
+
+
+@query("promotion_rows", LOG + ", d AS (SELECT * FROM log WHERE status = 'draft' QUALIFY row_number() OVER (PARTITION BY entity, key ORDER BY seq DESC) = 1), a AS (SELECT entity, key, max(seq) AS seq, arg_max(k, seq) AS k FROM log WHERE status = 'active' GROUP BY ALL), b AS (SELECT entity, key, max(seq) AS base_seq FROM log WHERE status = 'active' AND id % 9 <> 0 GROUP BY ALL), v AS (SELECT d.entity FROM d LEFT JOIN a USING (entity, key) LEFT JOIN b USING (entity, key) GROUP BY d.entity HAVING NOT bool_and(a.seq IS NOT NULL AND d.k IS NOT DISTINCT FROM a.k) AND NOT bool_or(coalesce(a.seq, 0) > coalesce(b.base_seq, 0))) SELECT d.id AS promoted_from, d.entity, d.key, 'active' AS status, (SELECT max(seq) FROM log) + row_number() OVER (ORDER BY d.entity, d.key) AS seq FROM d SEMI JOIN v USING (entity)")
+def promotion_rows(s, d):
+    log = activity(s, d)
+    base = log.where("status = 'active' AND id % 9 <> 0").groupBy("entity", "key").agg(F.max("seq").alias("base_seq"))
+    return lifecycle.promoted(log, lifecycle.promotion(log, base, "k")).select("promoted_from", "entity", "key", "status", "seq")
+
+
+@query("all_references", LOG + " SELECT 'collection' AS kind, collection || '@' || version AS name, count(*) AS n FROM log GROUP BY ALL UNION ALL SELECT 'annotation', type, count(*) FROM log GROUP BY ALL UNION ALL SELECT 'derivation', CASE WHEN id % 50 = 0 THEN 'p' ELSE 'q' END, count(*) FROM log WHERE id % 25 = 0 GROUP BY ALL UNION ALL SELECT 'artifact', 'brief', count(*) FROM log WHERE id % 8 = 0")
+def all_references(s, d):
+    log = activity(s, d).withColumn("annotations", F.create_map("type", F.lit("x")))
+    runs = log.where("id % 25 = 0").select(F.when(F.col("id") % 50 == 0, "p").otherwise("q").alias("processor"))
+    return lifecycle.all_references(log, runs, log.where("id % 8 = 0").select(F.lit("brief").alias("artifact")))
+
+
+@query("index_refresh", LOG + ", ch AS (SELECT * FROM log WHERE id % 40 = 1), t AS (SELECT DISTINCT entity, collection, key, status FROM ch), r AS (SELECT l.* FROM log l SEMI JOIN t USING (entity, collection, key, status) WHERE ready), x AS (SELECT id, true AS is_latest FROM r QUALIFY row_number() OVER (PARTITION BY entity, collection, key, status ORDER BY seq DESC) = 1 UNION ALL SELECT id, false FROM (SELECT * FROM r WHERE id % 40 <> 1 QUALIFY row_number() OVER (PARTITION BY entity, collection, key, status ORDER BY seq DESC) = 1)) SELECT id, bool_or(is_latest) AS is_latest FROM x GROUP BY id")
+def index_refresh(s, d):
+    log = activity(s, d)
+    return lifecycle.index_refresh(log, log.where("id % 40 = 1"), ("entity", "collection", "key", "status"))
+
+
+@query("artifact_staleness", LOG + ", a AS (SELECT entity AS artifact, min(seq) AS seen_seq, CASE WHEN entity LIKE '%3' THEN 'old' ELSE 'now' END AS hash FROM log GROUP BY ALL), m AS (SELECT entity, max(seq) AS top FROM log WHERE ready GROUP BY entity) SELECT artifact, CASE WHEN hash <> 'now' THEN 'definition' WHEN top > seen_seq THEN 'rows' ELSE 'fresh' END AS state FROM a LEFT JOIN m ON m.entity = a.artifact")
+def artifact_staleness(s, d):
+    log = activity(s, d)
+    made = log.groupBy(F.col("entity").alias("artifact")).agg(F.min("seq").alias("seen_seq")).withColumn("hash", F.when(F.col("artifact").endswith("3"), "old").otherwise("now"))
+    return artifacts.staleness(made, "now", log.where("ready").withColumnRenamed("entity", "artifact"))
+
+
+@query("run_listing", RUNS + " SELECT seq, entity, outcome, high_seq FROM runs WHERE seq < 9000 AND outcome = 'ok' ORDER BY seq DESC LIMIT 40")
+def run_listing(s, d):
+    from ledgerlens import api
+
+    return api.runs(_runs(activity(s, d)), before=9000, limit=40, outcome="ok").select("seq", "entity", "outcome", "high_seq")
+
+
+@query("search_declared_fields", "WITH l AS (SELECT event_id AS id, event_id + 1 AS seq, CASE WHEN event_id % 3 = 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS amount FROM events WHERE event_id % 17 <> 0 AND event_id % 10 <> 0 AND event_id % 11 <> 0) SELECT id, amount FROM l WHERE amount > 3 ORDER BY amount DESC, seq, CAST(id AS VARCHAR) LIMIT 100")
+def search_declared_fields(s, d):
+    log = activity(s, d).join(table(s, d, "events").select(F.col("event_id").alias("id"), F.col("props").alias("content")), "id")
+    source = Source("structured", where={"amount": {"gt": 3}}, order_by=[("amount", "desc")], fields={"amount": ("integer", {2: "$.k"})}, k=100)
+    return run_source(log, source).select("id", "amount")

@@ -418,9 +418,9 @@ def lineage_depth(s, d):
     return provenance.depths(activity(s, d).select("id"), _links(s, d))
 
 
-@query("stale_citations", LINKS + ", live AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY entity, collection, key, status ORDER BY seq DESC) = 1), newest AS (SELECT entity, collection, key, status, max(seq) AS newer FROM log WHERE ready GROUP BY ALL) SELECT child, parent, newer FROM links JOIN live h ON h.id = child AND h.ready AND NOT h.tombstone JOIN log p ON p.id = parent JOIN newest n ON n.entity = p.entity AND n.collection = p.collection AND n.key = p.key AND n.status = p.status WHERE newer > p.seq")
+@query("stale_citations", LINKS + ", live AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY entity, collection, version, key, status ORDER BY seq DESC) = 1), newest AS (SELECT entity, collection, version, key, status, max(seq) AS newer FROM log WHERE ready GROUP BY ALL) SELECT child, parent, newer FROM links JOIN live h ON h.id = child AND h.ready AND NOT h.tombstone JOIN log p ON p.id = parent JOIN newest n ON n.entity = p.entity AND n.collection = p.collection AND n.version = p.version AND n.key = p.key AND n.status = p.status WHERE newer > p.seq")
 def stale_citations(s, d):
-    return provenance.stale_citations(activity(s, d), _links(s, d), SLOT)
+    return provenance.stale_citations(activity(s, d), _links(s, d), ("entity", "collection", "version", "key", "status"))
 
 
 RETENTION = LOG + ", slots AS (SELECT entity, key, status, seq FROM (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY entity, key, status ORDER BY seq DESC) = 1) WHERE tombstone AND occurred_at <= TIMESTAMP '2024-01-30')"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import json_schema
 from ledgerlens.operators import cursors, derivation, enrich, packing, predicates, projection, ranking, storage
 from ledgerlens.operators.numbering import numbered_on
+from ledgerlens import api
 from ledgerlens.plans import checks, compat, context, models, search
 from ledgerlens.plans.catalog import Catalog, CatalogError
 
@@ -345,3 +346,33 @@ def test_named_views_and_the_local_index(spark):
     assert found["vector", 1] == 5 and found["text", 1] in (1, 3, 5)
     with pytest.raises(search.IllegalSearch):
         index.candidates(2)
+
+
+def test_the_engine_reads_and_writes(spark):
+    schema = "id string, seq long, entity string, collection string, version int, key string, type string, status string, ready boolean, tombstone boolean, content string, text string, run_id string, derived_from array<string>, depth int, dedupe_key string, annotations map<string,string>"
+    row = lambda i, n, key, status="active", gone=False, run=None, parents=(), content='{"text":"a"}': (i, n, "e", "events", 1, key, "t", status, True, gone, content, f"text {i}", run, list(parents), 0, f"d{i}", {"topic": "x"})
+    rows = [row("a", 1, "k"), row("b", 2, "k", parents=["a", "r"], run="r"), row("c", 3, "m", gone=True), row("d", 4, "n", "draft", content='{"text":"new"}'), row("r", 5, None), row("f", 6, "o", parents=["b"])]
+    log = spark.createDataFrame(rows, schema).withColumn("occurred_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    engine = api.Engine(log, catalog())
+    assert engine.record("b").first()["content"] == '{"text":"a"}' and engine.timeline(limit=2).count() == 2
+    assert engine.entities("%E%").first()["n"] == 6
+    live, gone = engine.document("e")
+    assert sorted(r["id"] for r in live.collect()) == ["b", "f"] and [r["id"] for r in gone.collect()] == ["c"]
+    assert [r["citations"] for r in engine.history("e", "k").collect()] == [["a"], []]
+    assert [r["seq"] for r in engine.delta(None, {}, 2).collect()] == [1, 2]
+    batch = log.where("id IN ('a', 'd')").withColumn("dedupe_key", F.concat(F.lit("new"), "id")).withColumn("id", F.concat(F.lit("z"), "id")).withColumn("ordinal", F.col("seq")).drop("seq")
+    judged, after = engine.ingest(batch)
+    assert {r["verdict"] for r in judged.collect()} == {"inserted"} and sorted(r["seq"] for r in after.collect())[-2:] == [7, 8]
+    bad, same = engine.ingest(batch.withColumn("content", F.lit('{"n": "x"}')))
+    assert {tuple(r["faults"]) for r in bad.collect()} == {("required:$.text", "type:$.n")} and same.count() == 6
+    left, digests = engine.erase(log.where("id = 'b'"))
+    assert sorted(r["id"] for r in left.collect()) == ["a", "c", "d"] and digests.first()["erased"] == 3
+    verdicts, made = engine.promote(spark.createDataFrame([], "entity string, key string, base_seq long"))
+    assert verdicts.first()["verdict"] == "promote" and [(r["promoted_from"], r["seq"]) for r in made.collect()] == [("d", 7)]
+    assert engine.backfill(log.limit(0), 0, 2)[1] == 2 and engine.reindex_plan(3).count() >= 3
+    assert engine.listings().where("family = 'views'").count() == 3
+    assert {n: j.verdict for n, j in engine.compat(catalog(**edited("collections", "events", ("fields", "n", "path"), "n"))).items()} == {"events@1": "invisible", "profiles@1": "invisible", "edges@1": "invisible"}
+    drafts = spark.createDataFrame([("e", 0, "k", "fresh", False, ["a"])], "entity string, ordinal long, key string, text string, retract boolean, citations array<string>")
+    inputs = derivation.changes_input(log, spark.createDataFrame([], "entity string, watermark long"), derivation.Driver())
+    rows = engine.run_derivation(drafts, inputs, derivation.Emission("events", keys=("k",)), "p").orderBy("seq").collect()
+    assert [(r["type"], r["key"], r["depth"], r["seq"]) for r in rows] == [("run", None, 0, 7), ("derived", "k", 1, 8)]
