@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.session import spread
+
 #: Rows of an Arrow batch that go to Python: long texts make a larger batch too large for a small executor.
 BATCH_ROWS = 500
 #: Bits of the membership filter (2 MB): it is a prefilter of fixed size; an exact join follows.
@@ -70,7 +72,7 @@ def map_rows(df: DataFrame, schema: str, each: Callable[[], Callable[[dict[str,
                 out = work({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in ((out[f.name], f) for f in arrow)], schema=arrow)
 
-    return df.mapInArrow(run, target)
+    return spread(df).mapInArrow(run, target)
 
 
 def keep_likely(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -212,3 +212,27 @@ def test_empty_tables(spark):
     assert exact_dedup.content_sort_groups(empty).count() == 0
     assert near_dup.near_duplicates(empty).count() == 0
     assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+def test_many_rows_without_ids_or_with_one_id(spark):
+    """Borders are sampled by chance, not by id: such rows are spread, and groups that cross borders are joined."""
+    rows = [(None, f"text {k % 7}") for k in range(3000)] + [(5, "Text 1")] * 1500 + [(5, "other")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = exact_dedup.content_sort_groups(docs, keep="largest").collect()
+    sizes = {f"text {k}": sum(t.lower() == f"text {k}" for _, t in rows) for k in range(7)} | {"other": 500}
+    found = {(r["text_sha256"], r["keep_id"], r["group_size"]) for r in got}
+    assert len(got) == len(rows) and found == {(hashlib.sha256(t.encode()).hexdigest(), 5 if t in ("text 1", "other") else None, n) for t, n in sizes.items()}
+
+
+def test_near_copies_of_very_long_texts(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(150_000)]
+    other = list(words)
+    for at in rng.sample(range(len(other)), 1500):
+        other[at] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:3000])), (4, "w1 " * 40_000), (5, " ".join(words).upper())]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: c for i, (_, c) in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1} and got[4][0] == 1
+    assert got[1][0] == len(brute_sets(rows[0][1])) == got[5][0]
+    repeats = [tuple(r) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("kept_text").collect()]
+    assert sorted(repeats) == sorted(brute_repeats(rows))

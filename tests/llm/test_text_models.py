@@ -39,6 +39,7 @@ def test_encode_and_decode_tables(spark):
     docs = spark.createDataFrame([(1, "Hello there", "x"), (1, None, "y"), (None, "", "z")], "doc_id long, text string, n_tokens string")
     digests = bpe.encode_digest(docs, ranks, pattern).select("doc_id", "n_tokens").collect()
     assert sorted((r["n_tokens"] for r in digests)) == [0, 0, 2]
+    assert bpe.encode_digest(docs.limit(0), ranks, pattern).count() == 0 and bpe.decode(bpe.encode(docs.limit(0), ranks, pattern), ranks).count() == 0
     back = bpe.decode(bpe.encode(docs, ranks, pattern), ranks).select("text", "decoded").collect()
     assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in back)
 
