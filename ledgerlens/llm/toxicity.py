@@ -46,7 +46,7 @@ CUTOFF = 1e-4
 #: slowly, and how much more slowly.
 UNDER, SLOWLY = 0.02, 0.1
 #: How many times more frequent than chance a witness's letter run is in toxic texts.
-CONTRAST = 20
+CONTRAST = 40
 #: Highest words of clean texts that a round adds to the negatives.
 HARD = 3000
 CACHE = 1_000_000
