@@ -74,7 +74,7 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def proximity_boost(ranked: DataFrame, near: DataFrame, weight: float, key: str = "key", score: str = "score") -> DataFrame:
     """``weight / (distance + 1)`` added for rows whose key is on a path."""
-    hit = ranked.join(F.broadcast(near.withColumnRenamed("node", key)), key, "left")
+    hit = ranked.join(near.withColumnRenamed("node", key), key, "left")
     return hit.withColumn(score, F.col(score) + F.coalesce(F.lit(float(weight)) / (F.col("distance") + 1), F.lit(0.0)))
 
 

@@ -62,7 +62,7 @@ def backfill_page(rows: DataFrame, done: DataFrame, after: int, limit: int) -> D
 def contract_offenders(log: DataFrame, contracts: DataFrame, by: Sequence[str] = ("collection", "version", "hash")) -> DataFrame:
     """Stored contracts that the catalog does not have, with their rows and the first offender."""
     stored = log.groupBy(*by).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
-    return stored.join(F.broadcast(contracts), list(by), "left_anti")  # one row a contract
+    return stored.join(contracts, list(by), "left_anti")
 
 
 def reference_counts(rows: DataFrame, annotations: str) -> DataFrame:

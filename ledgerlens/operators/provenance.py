@@ -15,10 +15,16 @@ def parents(log: DataFrame, id_col: str = "id", column: str = "derived_from") ->
     return log.select(F.col(id_col).alias("child"), F.explode(column).alias("parent"))
 
 
-#: Rows of a frontier that are sent to all tasks; a larger one is joined by shuffle.
+#: Rows of a frontier that are sent to all tasks, and edges that are walked here; more are joined by shuffle.
 SMALL = 10_000
 
 
+def _few(edges: DataFrame) -> list[tuple] | None:
+    """The edges (child, parent), if there are at most ``SMALL``."""
+    rows = edges.limit(SMALL + 1).collect()
+    return [(r["child"], r["parent"]) for r in rows] if len(rows) <= SMALL else None
+
+
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id, distance): seeds and all that descends from them. Each round joins the frontier of the last one only.
 
@@ -30,6 +36,15 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     schema = seeds.select(F.col("id"), F.lit(0).alias("distance")).schema
     first = seeds.select("id").distinct().limit(SMALL + 1).collect()
     n, near, known = 0, {r["id"] for r in first}, {r["id"]: 0 for r in first}
+    if len(known) <= SMALL and (few := _few(edges)) is not None:
+        children: dict = {}
+        for child, parent in few:
+            children.setdefault(parent, []).append(child)
+        while near:
+            n += 1
+            near = {c for i in near for c in children.get(i, ())} - known.keys()
+            known.update(dict.fromkeys(near, n))
+        return spark.createDataFrame(list(known.items()), schema)
     while near and len(known) <= SMALL:
         n += 1
         frontier = spark.createDataFrame([(i,) for i in near], schema[:1]).withColumnRenamed("id", "parent")
@@ -82,6 +97,8 @@ def erase(log: DataFrame, doomed: DataFrame, id_col: str = "id") -> tuple[DataFr
 def depths(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, depth): 0 for roots, else one more than the deepest parent. Round n holds the rows with a path of n steps."""
     edges = held(edges.select("child", "parent"))
+    if (few := _few(edges)) is not None:
+        return _merged_depths(rows, edges, few)
     level = held(edges.select(F.col("child").alias("id")).distinct())
     longest = level.count()  # without a cycle no path has more steps than there are children
     found = rows.select("id", F.lit(0).alias("depth"))
@@ -97,6 +114,24 @@ def depths(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.max("depth").alias("depth"))
 
 
+def _merged_depths(rows: DataFrame, edges: DataFrame, few: list[tuple]) -> DataFrame:
+    """``depths`` where the edges are few: in the order in which parents come before children."""
+    from graphlib import CycleError, TopologicalSorter
+
+    above: dict = {}
+    for child, parent in few:
+        above.setdefault(child, set()).add(parent)
+    try:
+        order = list(TopologicalSorter(above).static_order())
+    except CycleError:
+        raise ValueError("derived_from has a cycle: depths are not defined") from None
+    depth: dict = {}
+    for i in order:
+        depth[i] = max((depth[p] + 1 for p in above.get(i, ())), default=0)
+    found = rows.sparkSession.createDataFrame([(i, depth[i]) for i in above], edges.select(F.col("child").alias("id"), F.lit(0).alias("depth")).schema)
+    return rows.select("id", F.lit(0).alias("depth")).unionByName(found).groupBy("id").agg(F.max("depth").alias("depth"))
+
+
 def stale_citations(log: DataFrame, edges: DataFrame, slot: Sequence[str]) -> DataFrame:
     """(child, parent, newer): live heads that cite a row of which a newer ready version exists."""
     live = heads(log.where("key IS NOT NULL"), slot).where(F.col("ready") & ~F.col("tombstone"))

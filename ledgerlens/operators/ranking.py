@@ -115,6 +115,14 @@ def public_score(score: str = "rank_score", pool: Sequence[str] = ()) -> Column:
     return F.when(high > low, (F.col(score) - low) / (high - low)).otherwise(1.0)
 
 
+def scored_publicly(rows: DataFrame, score: str = "rank_score", pool: Sequence[str] = ()) -> DataFrame:
+    """``public_score`` for pools without a cap: bounds are aggregated and joined, so no pool meets in one task."""
+    bounds = rows.groupBy(*pool).agg(F.min(score).alias("__low"), F.max(score).alias("__high"))
+    both = rows.join(bounds, list(pool)) if pool else rows.crossJoin(F.broadcast(bounds))  # one row
+    low, high = F.col("__low"), F.col("__high")
+    return both.withColumn("score", F.when(high > low, (F.col(score) - low) / (high - low)).otherwise(1.0)).drop("__low", "__high")
+
+
 def by_relevance(score: str = "rank_score", time: str = "occurred_at", seq: str = "seq", identity: str = "id") -> list[Column]:
     return [F.desc(score), F.desc(time), F.desc(seq), F.col(identity).cast("string").asc()]
 

@@ -161,3 +161,8 @@ def typed_order(s, d):
     declared = {1: {"k": {"type": "integer", "filter": True, "sort": True}}}
     kinds = predicates.legal({"k": {"gt": 1}}, declared, order=("k",))
     return predicates.where(scan(activity(s, d), Scope(versions={"activity": (1,)})), {"k": {"gt": 1}}, kinds).select("id", "k")
+
+
+@query("public_score_of_all", LOG + ", live AS (SELECT * FROM log WHERE status = 'active' AND ready AND NOT tombstone), b AS (SELECT min(value) AS low, max(value) AS high FROM live) SELECT id, round(CASE WHEN high > low THEN (value - low) / (high - low) ELSE 1 END, 6) AS score FROM live, b")
+def public_score_of_all(s, d):
+    return ranking.scored_publicly(scan(activity(s, d), Scope()), "value").select("id", F.round("score", 6).alias("score"))

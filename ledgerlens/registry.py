@@ -437,10 +437,10 @@ def retention_purge(s, d):
     return provenance.purge(log, provenance.expired_slots(log, slot, "2024-01-30 00:00:00"), slot)
 
 
-@query("divergence", LOG + ", a AS (SELECT * FROM log WHERE seq <= 500 QUALIFY row_number() OVER (PARTITION BY entity, key ORDER BY seq DESC) = 1), b AS (SELECT * FROM log WHERE seq > 300 QUALIFY row_number() OVER (PARTITION BY entity, key ORDER BY seq DESC) = 1) SELECT coalesce(a.entity, b.entity) AS entity, coalesce(a.key, b.key) AS key, CASE WHEN a.entity IS NULL THEN 'added' WHEN b.entity IS NULL THEN 'removed' WHEN a.k IS NOT DISTINCT FROM b.k THEN 'unchanged' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.entity = b.entity AND a.key = b.key")
+@query("divergence", LOG + ", a AS (SELECT * FROM log WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY entity, key ORDER BY seq DESC) = 1), b AS (SELECT * FROM log WHERE status = 'draft' QUALIFY row_number() OVER (PARTITION BY entity, key ORDER BY seq DESC) = 1) SELECT coalesce(a.entity, b.entity) AS entity, coalesce(a.key, b.key) AS key, CASE WHEN a.entity IS NULL THEN 'added' WHEN b.entity IS NULL THEN 'removed' WHEN a.k IS NOT DISTINCT FROM b.k THEN 'unchanged' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.entity = b.entity AND a.key = b.key")
 def divergence(s, d):
     log, by = activity(s, d), ("entity", "key")
-    return provenance.divergence(heads.heads(log.where("seq <= 500"), by), heads.heads(log.where("seq > 300"), by), by, "k")
+    return provenance.divergence(heads.heads(log.where("status = 'active'"), by), heads.heads(log.where("status = 'draft'"), by), by, "k")
 
 
 @query("embedding_coverage", LOG + ", e AS (SELECT vec_id AS id, vec_id % 5 <> 0 AS has_vector FROM embeddings) SELECT count(*) AS total, count(*) FILTER (has_vector) AS embedded, count(*) FILTER (has_vector IS NULL) AS pending FROM log LEFT JOIN e USING (id)")
@@ -629,10 +629,10 @@ def context_pack(s, d):
     return packing.greedy_pack(top, "cost", 4000, "rank", "source").select("source", "doc_id", "cost")
 
 
-@query("promotion_verdicts", LOG + ", d AS (SELECT * FROM log WHERE status = 'draft' QUALIFY row_number() OVER (PARTITION BY entity, key ORDER BY seq DESC) = 1), a AS (SELECT * FROM log WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY entity, key ORDER BY seq DESC) = 1), b AS (SELECT entity, key, max(seq) AS base_seq FROM log WHERE status = 'active' AND seq <= 9000 GROUP BY ALL) SELECT d.entity, CASE WHEN bool_and(a.seq IS NOT NULL AND d.k IS NOT DISTINCT FROM a.k) THEN 'already' WHEN bool_or(coalesce(a.seq, 0) > coalesce(b.base_seq, 0)) THEN 'conflict' ELSE 'promote' END AS verdict, count(*) AS n FROM d LEFT JOIN a USING (entity, key) LEFT JOIN b USING (entity, key) GROUP BY d.entity")
+@query("promotion_verdicts", LOG + ", d AS (SELECT * FROM log WHERE status = 'draft' QUALIFY row_number() OVER (PARTITION BY entity, key ORDER BY seq DESC) = 1), a AS (SELECT * FROM log WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY entity, key ORDER BY seq DESC) = 1), b AS (SELECT entity, key, max(seq) AS base_seq FROM log WHERE status = 'active' AND id % 9 <> 0 GROUP BY ALL) SELECT d.entity, CASE WHEN bool_and(a.seq IS NOT NULL AND d.k IS NOT DISTINCT FROM a.k) THEN 'already' WHEN bool_or(coalesce(a.seq, 0) > coalesce(b.base_seq, 0)) THEN 'conflict' ELSE 'promote' END AS verdict, count(*) AS n FROM d LEFT JOIN a USING (entity, key) LEFT JOIN b USING (entity, key) GROUP BY d.entity")
 def promotion_verdicts(s, d):
     log = activity(s, d)
-    base = log.where("status = 'active' AND seq <= 9000").groupBy("entity", "key").agg(F.max("seq").alias("base_seq"))
+    base = log.where("status = 'active' AND id % 9 <> 0").groupBy("entity", "key").agg(F.max("seq").alias("base_seq"))
     return lifecycle.promotion(log, base, "k")
 
 

@@ -245,6 +245,30 @@ def test_required_queue_takes_the_whole_run(spark):
     assert enrich.required_queue(plain.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small", [10_000, 40, 0])
+def test_closures_of_any_size_are_alike(spark, monkeypatch, small):
+    """Held here, by frontiers sent to all tasks, or by joins: the same closure and depths."""
+    monkeypatch.setattr(provenance, "SMALL", small)
+    rng = random.Random(4)
+    links = [(k, rng.randrange(max(0, k - 30), k)) for k in range(1, 150) for _ in range(2)] + [(200, 201), (201, 200)]
+    children, found, near = {}, {3: 0, 200: 0}, [3, 200]
+    for c, p in links:
+        children.setdefault(p, []).append(c)
+    while near:
+        near = sorted({c for i in near for c in children.get(i, ()) if c not in found})
+        found.update({c: max(found.values()) + 1 for c in near})
+    edges = spark.createDataFrame(links, "child long, parent long").coalesce(2)
+    got = provenance.closure(edges, spark.createDataFrame([(3,), (200,), (3,)], "id long"))
+    assert sorted(r["id"] for r in got.collect()) == sorted(found)
+    depth = {0: 0}
+    for k in range(1, 150):
+        depth[k] = 1 + max(depth[p] for c, p in links if c == k)
+    made = provenance.depths(spark.range(150), edges.where("child < 150"))
+    assert {r["id"]: r["depth"] for r in made.collect()} == depth
+    with pytest.raises(ValueError, match="cycle"):
+        provenance.depths(spark.range(4), edges.where("child >= 200")).count()
+
+
 def test_closure_and_depth_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(110)], "child long, parent long").coalesce(1)
     ids = spark.range(111).coalesce(1)
