@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,14 +39,18 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
-def held(rows: DataFrame) -> DataFrame:
-    """The rows without the plan that made them: checkpointed where the session has a folder for it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode, where none is set, one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not (spark.conf.get("spark.master", "local") or "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='ledgerlens-')}")
+    return spark.sparkContext.getCheckpointDir()
 
-    A local session has no executors to lose, so its own disk will do.
-    """
-    spark = rows.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return rows.checkpoint()
-    if (spark.conf.get("spark.master", None) or "").startswith("local"):
-        return rows.localCheckpoint()
-    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+
+def held(rows: DataFrame) -> DataFrame:
+    """The rows without the plan that made them, checkpointed in the shared folder."""
+    shared_folder(rows.sparkSession)
+    return rows.checkpoint()

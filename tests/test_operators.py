@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens import session
 from ledgerlens.functions import render, text, vectors
 from ledgerlens.operators import enrich, extract, graph, heads, packing, predicates, provenance, ranking, triggers
 from ledgerlens.plans.search import IllegalSearch, Source, run_source
@@ -287,3 +288,25 @@ def test_purge_takes_runs_and_descendants(spark):
     rows = [("a1", "a", "run1", []), ("a2", "a", None, []), ("run1", None, None, []), ("b", "b", None, ["run1"]), ("c", "c", None, ["b", "x"]), ("d", "d", "run2", ["y"]), ("run2", None, None, [])]
     log = spark.createDataFrame(rows, "id string, key string, run_id string, derived_from array<string>").coalesce(1)
     assert sorted(r["id"] for r in provenance.purge(log, log.where("key = 'a'").limit(1), ("key",)).collect()) == ["a1", "a2", "b", "c", "run1"]
+
+
+def test_the_shared_folder_is_the_sessions_or_a_local_one():
+    class Stub:
+        def __init__(self, master, folder=None):
+            self.values, self.made = {"spark.master": master, "spark.checkpoint.dir": folder}, None
+            self.conf, self.sparkContext = self, self
+
+        def get(self, key, default=None):
+            return self.values.get(key) or default
+
+        def getCheckpointDir(self):
+            return self.made
+
+        def setCheckpointDir(self, folder):
+            self.made = folder + "/own"
+
+    assert session.shared_folder(Stub("spark://x", "hdfs://a/b/")) == "hdfs://a/b"
+    local = Stub("local[2]")
+    assert session.shared_folder(local) == session.shared_folder(local) == local.made
+    with pytest.raises(ValueError):
+        session.shared_folder(Stub("spark://x"))
