@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.session import spread
+from ledgerlens.session import shared_folder, spread
 
 #: Rows of an Arrow batch that go to Python: long texts make a larger batch too large for a small executor.
 BATCH_ROWS = 500
@@ -20,18 +19,6 @@ BATCH_ROWS = 500
 FILTER_BITS = 1 << 24
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not (spark.conf.get("spark.master", "local") or "local").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='ledgerlens-')}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
 def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again: cuts lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
