@@ -36,11 +36,16 @@ def domain_time(time: Column) -> Column:
     return F.concat(minute, F.when(has_micros, F.date_format(time, ":ss.SSSSSS")).when(has_seconds, F.date_format(time, ":ss")).otherwise(""), F.lit("Z"))
 
 
-def record_line(identity: Column, time: Column, place: Column, key: Column, text: Column, tombstone: Column, most: int | None = None) -> Column:
-    """``[id=…] time | place | key k | text``; tombstones read ``retracted``."""
+def record_line(identity: Column, time: Column, place: Column, key: Column, text: Column, tombstone: Column, most: int | None = None, score: Column | None = None) -> Column:
+    """``[id=…] time | place | key k | score v | text``, without the parts that are null; tombstones read ``retracted``."""
     body = escape_untrusted(text if most is None else truncate_middle(text, most))
-    return F.concat(F.lit("[id="), identity.cast("string"), F.lit("] "), F.concat_ws(" | ", domain_time(time), place, F.concat(F.lit("key "), key), F.when(tombstone, "retracted").otherwise(body)))
+    return F.concat(F.lit("[id="), identity.cast("string"), F.lit("] "), F.concat_ws(" | ", domain_time(time), place, F.concat(F.lit("key "), key), *([] if score is None else [F.when(score.isNotNull(), F.format_string("score %.3f", score))]), F.when(tombstone, "retracted").otherwise(body)))
 
 
 def fence(body: Column, label: str) -> Column:
     return F.concat(F.lit(f"<{label}>\n"), body, F.lit(f"\n</{label}>"))
+
+
+def fence_overhead(label: str) -> int:
+    """The tokens that a fence costs beside its body."""
+    return -(-len(f"<{label}>\n\n</{label}>".encode()) // 4)

@@ -87,6 +87,22 @@ class Catalog:
         made.check()
         return made
 
+    @classmethod
+    def load_folder(cls, folder: str) -> Catalog:
+        """The definitions of all YAML files of a folder, in the order of their paths, as one catalog."""
+        from pathlib import Path
+
+        made = cls()
+        for path in sorted(Path(folder).rglob("*.y*ml")):
+            for family, items in (read_yaml(path.read_text()) or {}).items():
+                for item in items:
+                    key = f"{item['name']}@{item.get('version', 1)}"
+                    if key in made.families.setdefault(family, {}):
+                        raise CatalogError("duplicate_definition", f"{path.name}: {key}")
+                    made.families[family][key] = {"version": 1, **item}
+        made.check()
+        return made
+
     def get(self, family: str, name: str) -> dict[str, Any]:
         """By name@version, or the active version of a name."""
         own = self.families.get(family, {})

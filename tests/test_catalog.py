@@ -68,3 +68,16 @@ def test_templates_and_schemas():
     assert not any(valid(x, schema) for x in ({}, {"a": 0}, {"a": True}, {"a": 1, "c": 1}, {"a": 1, "b": [1, 1]}, {"a": 1, "b": [3]}))
     with pytest.raises(CatalogError):
         parameter("p", {"type": "number"}, float("inf"))
+
+
+def test_a_folder_is_one_catalog(tmp_path):
+    collections, views = GOOD.strip().split("views:")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "collections.yaml").write_text(collections)
+    (tmp_path / "views.yml").write_text("views:" + views)
+    c = Catalog.load_folder(str(tmp_path))
+    assert c.get("views", "v")["name"] == "v" and len(c.families["collections"]) == 2
+    (tmp_path / "z.yaml").write_text("views:" + views)
+    with pytest.raises(CatalogError) as e:
+        Catalog.load_folder(str(tmp_path))
+    assert e.value.code == "duplicate_definition"

@@ -376,3 +376,12 @@ def test_the_engine_reads_and_writes(spark):
     inputs = derivation.changes_input(log, spark.createDataFrame([], "entity string, watermark long"), derivation.Driver())
     rows = engine.run_derivation(drafts, inputs, derivation.Emission("events", keys=("k",)), "p").orderBy("seq").collect()
     assert [(r["type"], r["key"], r["depth"], r["seq"]) for r in rows] == [("run", None, 0, 7), ("derived", "k", 1, 8)]
+
+
+def test_record_lines_with_scores(spark):
+    from ledgerlens.functions import render
+
+    rows = spark.createDataFrame([(1, "k", 0.5, False), (2, None, None, True)], "id int, key string, s double, gone boolean").withColumn("t", F.lit("2024-01-02 03:04:05").cast("timestamp_ntz"))
+    made = rows.select(render.record_line(F.col("id"), F.col("t"), F.lit("c/t"), F.col("key"), F.lit("a < b"), F.col("gone"), score=F.col("s")).alias("line")).collect()
+    assert [r["line"] for r in made] == ["[id=1] 2024-01-02T03:04:05Z | c/t | key k | score 0.500 | a \\u003c b", "[id=2] 2024-01-02T03:04:05Z | c/t | retracted"]
+    assert render.fence_overhead("x") == 3
