@@ -87,11 +87,22 @@ def ancestry_faults(edges: DataFrame, rows: DataFrame) -> DataFrame:
     return found.groupBy("child").agg(F.bool_or(F.col("parent") == F.col("child")).alias("cycle"), F.bool_or(F.col("__seq") >= F.col("__own")).alias("bad_order"), F.bool_or(foreign).alias("foreign_tenant"), F.bool_or(F.col("__seq").isNull()).alias("missing"))
 
 
+def id_digests(rows: DataFrame, by: Sequence[str] = (), id_col: str = "id") -> DataFrame:
+    """(by, erased, digest): the number of different ids of each group, and a digest of them.
+
+    The digest is SHA-256 over the digests of 256 parts, in order: ids are parted by the first two hexadecimal letters of
+    their own digest, and sorted within a part, each ended by a null sign. So no task holds all ids of a group.
+    """
+    own = rows.select(*by, F.col(id_col).cast("string").alias("id")).distinct().withColumn("part", F.substring(F.sha2("id", 256), 1, 2))
+    parts = own.groupBy(*by, "part").agg(F.count("*").alias("n"), F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list("id")), "\x00"), F.lit("\x00")), 256).alias("digest"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"]), "")
+    return parts.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("erased"), F.sha2(whole, 256).alias("digest"))
+
+
 def erase(log: DataFrame, doomed: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(log without the closure, audit row): the audit has the count and a digest of the sorted ids."""
+    """(log without the closure, audit row): the audit has the count and a digest of the ids (``id_digests``)."""
     gone = doomed.select(F.col("id").alias(id_col)).distinct()
-    digest = F.sha2(F.array_join(F.sort_array(F.collect_list(F.col(id_col).cast("string"))), "\x00"), 256)
-    return log.join(gone, id_col, "left_anti"), gone.agg(F.count("*").alias("erased"), digest.alias("digest"))
+    return log.join(gone, id_col, "left_anti"), id_digests(gone, (), id_col)
 
 
 def depths(rows: DataFrame, edges: DataFrame) -> DataFrame:

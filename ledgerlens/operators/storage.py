@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.json_schema import violations
+from ledgerlens.operators.provenance import id_digests
 
 
 def rewrite_hash(rows: DataFrame, collection: str, version: int, old: str, new: str) -> DataFrame:
@@ -52,7 +53,7 @@ def sweep_step(rows: DataFrame, done: DataFrame, cursor: int, limit: int) -> tup
 
 def contract_audit(rows: DataFrame, contracts: DataFrame) -> DataFrame:
     """(collection, version, hash, n, first_id): stored contracts that the catalog does not have."""
-    stored = rows.groupBy("collection", "version", "hash").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    stored = rows.groupBy("collection", "version", "hash").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))  # one row a contract
     return stored.join(contracts, ["collection", "version", "hash"], "left_anti")
 
 
@@ -81,15 +82,13 @@ def job_status(jobs: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def erasure_digests(doomed: DataFrame) -> DataFrame:
-    """(collection, erased, digest): what an erasure took from each collection.
+    """(collection, erased, digest): what an erasure took from each collection."""
+    return id_digests(doomed, ("collection",))
 
-    The digest is SHA-256 over the sorted digests of parts of the ids, so no task holds all ids of a collection: ids are
-    parted by the first two hexadecimal letters of their own digest, and sorted within a part, each ended by a null sign.
-    """
-    own = doomed.select("collection", F.col("id").cast("string").alias("id")).distinct().withColumn("part", F.substring(F.sha2("id", 256), 1, 2))
-    parts = own.groupBy("collection", "part").agg(F.count("*").alias("n"), F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list("id")), "\x00"), F.lit("\x00")), 256).alias("digest"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"]), "")
-    return parts.groupBy("collection").agg(F.sum("n").alias("erased"), F.sha2(whole, 256).alias("digest"))
+
+def contract_groups(log: DataFrame) -> DataFrame:
+    """(collection, version, hash, n): the contracts that rows are stored under."""
+    return log.groupBy("collection", "version", "hash").agg(F.count("*").alias("n"))
 
 
 def subset_faults(rows: DataFrame, have: str, allowed: Column, required: Column | None = None) -> DataFrame:

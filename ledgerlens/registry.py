@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import render, text, vectors
-from ledgerlens.operators import enrich, graph, heads, lifecycle, packing, predicates, provenance, ranking, triggers
+from ledgerlens.operators import enrich, graph, heads, lifecycle, packing, predicates, provenance, ranking, storage, triggers
 from ledgerlens.plans import artifacts, catalog
 from ledgerlens.plans.search import Source, run_source, search
 from ledgerlens.sources.records import Scope, activity, graph_edges, scan, table
@@ -407,7 +407,7 @@ def erasure_closure(s, d):
     return provenance.closure(_links(s, d), activity(s, d).where("id IN (1, 2, 6)").select("id")).select("id")
 
 
-@query("erasure_audit", LINKS + ", reach(id) AS (SELECT id FROM log WHERE id IN (1, 2, 6) UNION SELECT l.child FROM reach r JOIN links l ON l.parent = r.id) SELECT count(*) AS erased, sha256(array_to_string(list(CAST(id AS VARCHAR) ORDER BY CAST(id AS VARCHAR)), chr(0))) AS digest FROM reach")
+@query("erasure_audit", LINKS + ", reach(id) AS (SELECT id FROM log WHERE id IN (1, 2, 6) UNION SELECT l.child FROM reach r JOIN links l ON l.parent = r.id), ids AS (SELECT CAST(id AS VARCHAR) AS id, left(sha256(CAST(id AS VARCHAR)), 2) AS part FROM reach), p AS (SELECT part, count(*) AS n, sha256(string_agg(id, chr(0) ORDER BY id) || chr(0)) AS digest FROM ids GROUP BY part) SELECT CAST(sum(n) AS BIGINT) AS erased, sha256(string_agg(digest, '' ORDER BY part)) AS digest FROM p")
 def erasure_audit(s, d):
     log = activity(s, d)
     return provenance.erase(log, provenance.closure(_links(s, d), log.where("id IN (1, 2, 6)").select("id")))[1]
@@ -452,7 +452,7 @@ def embedding_coverage(s, d):
 @query("contract_groups", LOG + " SELECT collection, version, sha256(collection || '@' || version) AS hash, count(*) AS n FROM log GROUP BY ALL")
 def contract_groups(s, d):
     h = F.sha2(F.concat_ws("@", "collection", F.col("version").cast("string")), 256)
-    return activity(s, d).groupBy("collection", "version", h.alias("hash")).agg(F.count("*").alias("n"))
+    return storage.contract_groups(activity(s, d).withColumn("hash", h))
 
 
 @query("annotation_vintage", LOG + ", m AS (SELECT 'topic' AS name, 'h' || (id % 3) AS hash FROM log UNION ALL SELECT 'mood', 'm' || (id % 2) FROM log) SELECT name, count(*) AS n FROM m WHERE hash <> CASE name WHEN 'topic' THEN 'h1' ELSE 'm0' END GROUP BY name")
