@@ -190,6 +190,24 @@ def test_tasks_and_sources():
     assert models.run_tasks([{"name": "r", "kind": "extract_relations", "input": "p", "config": {"directories": ["docs"]}}], {"p": models.Sourced("see docs/a and [x](docs/b)")})["r"].value == [["bare-slug", "docs/a"], ["markdown", "docs/b"]]
 
 
+def test_model_and_search_tasks():
+    runtime = models.Runtime({"m": [("x", models.Canned(['{"n": 2}']))]})
+    steps = [{"name": "s", "kind": "search", "input": "q", "config": {"find": lambda q: [(1, f"{q} one"), (2, "two"), (3, "three")], "k": 2}}, {"name": "l", "kind": "llm", "input": "s", "config": {"runtime": runtime, "model": "m", "prompt": "Count {{ value }}", "schema": {"type": "object", "required": ["n"]}, "budget": models.Budget(1, 100)}}]
+    got = models.run_tasks(steps, {"q": models.Sourced("x", (9,))})
+    assert got["s"] == models.Sourced(["x one", "two"], (9, 1, 2)) and got["l"] == models.Sourced({"n": 2}, (9, 1, 2))
+
+
+def test_answers_cite_what_they_saw():
+    canned = models.Canned(['{"answer": "yes", "citations": ["a"]}', '{"answer": "no", "citations": ["z"]}'])
+    runtime = models.Runtime({"m": [("x", canned)]})
+    evidence = [("a", "one"), ("b", "two")]
+    assert models.answer("so?", evidence, runtime, "m", models.Budget(1, 500)) == {"answer": "yes", "citations": ["a"], "shown": ["a", "b"]}
+    with pytest.raises(models.HiddenCitation):
+        models.answer("so?", evidence, runtime, "m", models.Budget(1, 500))
+    with pytest.raises(ValueError):
+        models.answer("", evidence, runtime, "m", models.Budget(1, 500))
+
+
 def test_rerank(spark):
     rows = [{"id": k, "rank": k} for k in range(1, 6)]
     got = models.rerank(rows, lambda r: {1: 0.1, 2: 0.9, 3: 0.9}[r["id"]], 3)
