@@ -310,3 +310,22 @@ def test_the_shared_folder_is_the_sessions_or_a_local_one():
     assert session.shared_folder(local) == session.shared_folder(local) == local.made
     with pytest.raises(ValueError):
         session.shared_folder(Stub("spark://x"))
+
+
+def test_cover_density_is_a_sum_over_least_covers(spark):
+    """Brute force: all ranges that hold every word, without a smaller one inside."""
+    from math import log1p
+
+    rng = random.Random(11)
+    query = text.Query("red blue or green")
+    for _ in range(200):
+        words = [rng.choice(["red", "blue", "green", "grey", "pink"]) for _ in range(rng.randint(0, 12))]
+        best = 0.0
+        for group in ({"red", "blue"}, {"green"}):
+            covers = [(i, j) for i in range(len(words)) for j in range(i, len(words)) if group <= set(words[i : j + 1])]
+            least = [(i, j) for i, j in covers if not any((a, b) != (i, j) and i <= a and b <= j for a, b in covers)]
+            best = max(best, sum(1 / (1 + log1p(j - i)) for i, j in least))
+        assert query.density(" ".join(words)) == pytest.approx(best)
+    rows = spark.createDataFrame([(1, "Red and blue"), (2, "reds, blue!"), (3, "bluered"), (4, None), (5, "red"), (6, "greenery green")], "id int, text string")
+    got = {r["id"]: r["score"] for r in text.cover_density(rows, "red blue or green").collect()}
+    assert got == {i: pytest.approx(query.density(t)) for i, t in ((1, "red and blue"), (2, "reds blue"), (6, "greenery green"))}
