@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Schema types and how a variant's type begins.
@@ -67,6 +67,22 @@ def violations(content: Column, schema: Mapping[str, Any]) -> Column:
 
     Types, required and additional properties, enums, lengths, bounds, patterns and item types are checked.
     """
-    value = F.try_parse_json(content)
+    return violations_of(F.try_parse_json(content), schema)
+
+
+def violations_of(value: Column, schema: Mapping[str, Any]) -> Column:
+    """``violations`` of a parsed value; null is a text that did not parse."""
     found = F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(fault)) for bad, fault in _rules(value, schema, "$")] or [F.lit(None).cast("string")])
     return F.when(value.isNull(), F.array(F.lit("json"))).otherwise(F.array_compact(found))
+
+
+def checked(rows: DataFrame, column: str, schemas: Mapping[str, Mapping[str, Any]] | Mapping[str, Any], name: str = "faults", by: str | None = None) -> DataFrame:
+    """``rows`` with the faults of a JSON column; each text is parsed once. With ``by``, ``schemas`` gives the schema for each
+    value of that column, and rows of other values have no faults."""
+    parsed = rows.withColumn("__json", F.try_parse_json(column))
+    if by is None:
+        return parsed.withColumn(name, violations_of(F.col("__json"), schemas)).drop("__json")
+    out = F.array().cast("array<string>")
+    for value, schema in schemas.items():
+        out = F.when(F.col(by) == value, violations_of(F.col("__json"), schema)).otherwise(out)
+    return parsed.withColumn(name, out).drop("__json")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.json_schema import violations
+from ledgerlens.functions.json_schema import checked
 from ledgerlens.functions.render import truncate_middle
 
 MODEL_BATCH, MOST_CHARS = 16, 8192
@@ -62,8 +62,7 @@ def write_once(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("id", "nam
 def json_annotation(rows: DataFrame, column: str, schema: Mapping[str, Any], score_fields: Mapping[str, str] | None = None) -> DataFrame:
     """Rows with ``faults`` of a JSON answer under a schema, ``annotation`` where there are none, and ``scores``: numbers at
     the paths of ``score_fields``."""
-    faults = violations(F.col(column), schema)
-    rows = rows.withColumn("faults", faults)
+    rows = checked(rows, column, schema)
     good = F.size("faults") == 0
     scores = [F.lit(x) if k else F.when(good, F.get_json_object(column, x).try_cast("double")) for pair in (score_fields or {}).items() for k, x in zip((1, 0), pair)]
     return rows.withColumn("annotation", F.when(good, F.col(column))).withColumn("scores", F.create_map(*scores) if scores else F.create_map().cast("map<string,double>"))

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.json_schema import violations
+from ledgerlens.functions.json_schema import checked
 from ledgerlens.operators.provenance import id_digests
 
 
@@ -21,7 +21,8 @@ def rewrite_hash(rows: DataFrame, collection: str, version: int, old: str, new:
 def rewrite_offenders(rows: DataFrame, properties: Mapping[str, Mapping[str, Any]], absent: Sequence[str] = ()) -> DataFrame:
     """(id, faults): rows that a new contract would not accept: values of newly declared properties that do not fit them,
     and annotations that must not be there yet."""
-    faults = violations(F.col("content"), {"type": "object", "properties": dict(properties)})
+    rows = checked(rows, "content", {"type": "object", "properties": dict(properties)}, "__faults")
+    faults = F.col("__faults")
     for name in absent:
         faults = F.concat(faults, F.when(F.array_contains(F.map_keys("annotations"), name), F.array(F.lit(f"annotation:{name}"))).otherwise(F.array().cast("array<string>")))
     return rows.select("id", faults.alias("faults")).where(F.size("faults") > 0)

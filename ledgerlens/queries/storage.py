@@ -10,6 +10,7 @@ from ledgerlens.operators import enrich, extract, graph, lifecycle, provenance,
 from ledgerlens.plans import artifacts
 from ledgerlens.plans.search import Source, run_source
 from ledgerlens.registry import LOG, RUNS, _runs, query
+from ledgerlens.session import spread
 from ledgerlens.sources.records import activity, append, batch_depths, ingest, table
 
 # Ingest: a batch of copies, changed copies, and new rows of which two share a key.
@@ -69,7 +70,7 @@ def _contents(s: SparkSession, d: str) -> DataFrame:
 @query("schema_violations", LOG + """ SELECT id, CASE WHEN id % 19 = 0 THEN 'json' ELSE array_to_string(list_filter([CASE WHEN id % 13 = 0 THEN 'required:$.value' END, CASE WHEN length(entity) < 8 THEN 'minLength:$.text' END,
  CASE WHEN id % 13 <> 0 AND id % 11 = 0 THEN 'type:$.value' END, CASE WHEN id % 13 <> 0 AND id % 11 <> 0 AND k > 50 THEN 'maximum:$.value' END, CASE WHEN type NOT IN ('click', 'view', 'error') THEN 'enum:$.kind' END, CASE WHEN id % 5 = 0 THEN 'items:$.tags' END, CASE WHEN id % 5 <> 0 AND id % 7 = 0 THEN 'maxItems:$.tags' END, CASE WHEN id % 17 = 0 THEN 'additional:$' END], lambda x: x IS NOT NULL), ',') END AS faults FROM log""")
 def schema_violations(s, d):
-    return _contents(s, d).select("id", F.array_join(json_schema.violations(F.col("content"), SCHEMA), ",").alias("faults"))
+    return json_schema.checked(spread(_contents(s, d)), "content", SCHEMA).select("id", F.array_join("faults", ",").alias("faults"))
 
 
 @query("ingest_depths", LOG + ", b AS (SELECT id + 1000000 AS id, entity, key, status, unnest([id, id - 7]) AS parent FROM log WHERE id % 3 = 0), h AS (SELECT id, entity, key, status FROM log QUALIFY row_number() OVER (PARTITION BY entity, collection, key, status ORDER BY seq DESC) = 1), f AS (SELECT b.id, max(p.id % 6 + CASE WHEN b.parent = h.id THEN 0 ELSE 1 END) AS depth, bool_or(p.id IS NULL) AS missing FROM b LEFT JOIN h USING (entity, key, status) LEFT JOIN log p ON p.id = b.parent GROUP BY b.id) SELECT id, CAST(coalesce(depth, 0) AS INT) AS depth, CASE WHEN missing THEN 'parent_missing' WHEN depth > 4 THEN 'depth_limit' END AS fault FROM f")

@@ -133,13 +133,11 @@ def ingest(log: DataFrame, batch: DataFrame, schemas: Mapping[str, Mapping[str,
 
     The first row of a key in ``order`` decides for those after it in the batch, as a row of the log would.
     """
-    from ledgerlens.functions.json_schema import violations
+    from ledgerlens.functions.json_schema import checked
 
     digest = F.sha2(F.to_json(F.struct(*[c for c in IMMUTABLE if c in batch.columns])), 256)
-    faults = F.array().cast("array<string>")
-    for name, schema in (schemas or {}).items():
-        faults = F.when(F.col("collection") == name, violations(F.col("content"), schema)).otherwise(faults)
-    rows = batch.withColumn("faults", faults).withColumn("digest", digest)
+    judged = checked(batch, "content", schemas, by="collection") if schemas else batch.withColumn("faults", F.array().cast("array<string>"))
+    rows = judged.withColumn("digest", digest)
     old = log.where("dedupe_key IS NOT NULL").select("dedupe_key", digest.alias("old_digest")).groupBy("dedupe_key").agg(F.first("old_digest").alias("old_digest"))
     # Rows without a key or with faults decide nothing; the key of the others is shared by few rows.
     counted = F.col("dedupe_key").isNotNull() & (F.size("faults") == 0)
