@@ -49,7 +49,7 @@ def many_ranges(spark, request):
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", ["derive_commit", "ingest_append"])
+@pytest.mark.parametrize("name", ["derive_commit", "ingest_append", "promotion_rows"])
 def test_numbers_do_not_depend_on_ranges(spark, duck, many_ranges, name):
     got, expected = registry.QUERIES[name](spark, SF).toPandas(), duck.sql(registry.SQL[name]).df()
     columns = sorted(expected.columns)
